@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,3 +82,9 @@ def gap_in_days(
     wide = to_wide(df.where(F.col(wave).isin(later, earlier)), [key], wave, stamp,
                    [earlier, later], prefix="_w")
     return wide.select(key, days_between(f"_w{later}", f"_w{earlier}").alias(name))
+
+
+def union_tagged(tables: Mapping[str, DataFrame], tag: str) -> DataFrame:
+    """Union by name with the table's name in a column."""
+    tagged = [df.withColumn(tag, F.lit(name)) for name, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

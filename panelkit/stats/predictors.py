@@ -115,6 +115,11 @@ def elastic_net_path(
 def rank_predictors(path: DataFrame) -> DataFrame:
     """Predictors by the number of steps they stay in the model."""
     kept = path.groupBy("target", "predictor").agg(F.count_if(F.col("beta") != 0).alias("persistence"))
+    return number_ranked(kept)
+
+
+def number_ranked(kept: DataFrame) -> DataFrame:
+    """Number the predictors of a target, most persistent first, then by name."""
     w = Window.partitionBy("target").orderBy(F.desc("persistence"), "predictor")
     return kept.withColumn("row", F.row_number().over(w))
 

@@ -113,7 +113,7 @@ def rm_ancova(
     rows = wide.select(*by, *[c.alias(n) for n, c in design.items()], *waves)
     sums = cross_products(rows, cols, by, centre=[0.0] * len(cols))
     keys = list(by)
-    schema = T.StructType([sums.schema[b] for b in keys] + list(T._parse_datatype_string(RESULT)))
+    schema = T.StructType([sums.schema[b] for b in keys] + list(T.StructType.fromDDL(RESULT)))
 
     def finish(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         out = tests_from_moments(as_matrix(part, len(cols)), terms, at_waves, observed, within)
