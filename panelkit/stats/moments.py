@@ -7,7 +7,7 @@ whatever the row count.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,14 +26,17 @@ def centres(df: DataFrame, cols: Sequence[str]) -> list[float]:
 
 
 def cross_products(
-    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), centre: Sequence[float] | None = None
+    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), centre: Sequence[float] | None = None,
+    expand: Callable[[np.ndarray], np.ndarray] | None = None, width: int | None = None,
 ) -> DataFrame:
     """Long table (by, i, j, s): sum of products of complete rows.
 
     Index 0 is the constant 1, so (0, 0) is the row count and (0, i) the sum
-    of column i after subtracting its centre. Only i <= j is kept.
+    of column i after subtracting its centre. Only i <= j is kept. ``expand``
+    turns a batch of the columns into ``width`` derived ones (a design matrix)
+    inside the task.
     """
-    k = len(cols)
+    k = width or len(cols)
     centre = np.array(centres(df, cols) if centre is None else centre)
     data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=list(cols))
     upper = np.triu_indices(k + 1)
@@ -58,7 +61,8 @@ def cross_products(
         for batch in batches:
             groups = batch.groupby(by, dropna=False, sort=False) if by else [((), batch)]
             for key, part in groups:
-                x = np.column_stack([np.ones(len(part)), part[cols].to_numpy(float) - centre])
+                x = part[cols].to_numpy(float) - centre
+                x = np.column_stack([np.ones(len(part)), expand(x) if expand else x])
                 block = x.T @ x
                 key = key if isinstance(key, tuple) else (key,)
                 sums[key] = sums.get(key, 0.0) + block

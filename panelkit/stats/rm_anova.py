@@ -94,29 +94,36 @@ def rm_ancova(
     the same pass; a subgroup too small for the design yields no rows.
     """
     observed = list(between) if observed is None else list(observed)
-    coded = {t: _codes(t, lv) for t, lv in between.items()}
-    design: dict[str, Column] = {}
+    codes: list[Column] = []
+    places: dict[str, list[int]] = {}
+    for name, levels in between.items():
+        coded = _codes(name, levels)
+        places[name] = list(range(len(codes), len(codes) + len(coded)))
+        codes += coded
+    factors: list[tuple[int, ...]] = []
     terms: list[tuple[str, list[int]]] = [("(Intercept)", [0])]
     for size in range(1, len(between) + 1):
         for chosen in combinations(between, size):
-            at = []
-            for parts in product(*[coded[t] for t in chosen]):
-                value = parts[0]
-                for c in parts[1:]:
-                    value = value * c
-                design[f"_x{len(design) + 1}"] = value
-                at.append(len(design))
-            terms.append((":".join(chosen), at))
-    k = len(design)
-    at_waves = [k + 1 + i for i in range(len(waves))]
-    cols = [*design, *waves]
-    rows = wide.select(*by, *[c.alias(n) for n, c in design.items()], *waves)
-    sums = cross_products(rows, cols, by, centre=[0.0] * len(cols))
+            columns = list(product(*[places[t] for t in chosen]))
+            terms.append((":".join(chosen), list(range(len(factors) + 1, len(factors) + len(columns) + 1))))
+            factors += columns
+    n_codes, n_waves = len(codes), len(waves)
+
+    def design(x: np.ndarray) -> np.ndarray:
+        products = [np.prod(x[:, list(f)], axis=1) for f in factors]
+        return np.column_stack([*products, x[:, n_codes:]])
+
+    width = len(factors) + n_waves
+    at_waves = list(range(len(factors) + 1, width + 1))
+    names = [f"_c{i}" for i in range(n_codes)]
+    rows = wide.select(*by, *[c.alias(n) for n, c in zip(names, codes)], *waves)
+    cols = [*names, *waves]
+    sums = cross_products(rows, cols, by, [0.0] * len(cols), design, width)
     keys = list(by)
     schema = T.StructType([sums.schema[b] for b in keys] + list(T.StructType.fromDDL(RESULT)))
 
     def finish(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        out = tests_from_moments(as_matrix(part, len(cols)), terms, at_waves, observed, within)
+        out = tests_from_moments(as_matrix(part, width), terms, at_waves, observed, within)
         if out.empty:
             return pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema})
         for name, v in zip(keys, key):
