@@ -116,6 +116,26 @@ VIEWS = {
         SELECT c_custkey, c_mktsegment, c_acctbal, avg(o_totalprice) AS avg_price,
                CAST(count(*) AS DOUBLE) AS n_orders, c_custkey % 5 = 0 AS treated
         FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL""",
+    # Every eligible pair, by brute force; the Spark plan never forms these.
+    "twin_sds": """
+        SELECT c_mktsegment, stddev_samp(c_acctbal) AS sd1, stddev_samp(avg_price) AS sd2 FROM twins GROUP BY c_mktsegment""",
+    "twin_pairs": """
+        SELECT a.c_mktsegment AS stratum, a.c_custkey AS treated, b.c_custkey AS control,
+               greatest(abs(a.c_acctbal - b.c_acctbal) / sd1, abs(a.avg_price - b.avg_price) / sd2) AS needed,
+               pow((a.c_acctbal - b.c_acctbal) / sd1, 2) + pow((a.avg_price - b.avg_price) / sd2, 2) AS dist
+        FROM twins a JOIN twins b ON a.c_mktsegment = b.c_mktsegment AND a.treated AND NOT b.treated
+        JOIN twin_sds s ON s.c_mktsegment = a.c_mktsegment""",
+    "twin_ties": """
+        SELECT CAST(c AS INT) AS caliper, p.* FROM twin_pairs p JOIN (SELECT unnest(range(25, 101, 5)) AS c) ON needed <= c / 100.0
+        QUALIFY dist <= min(dist) OVER (PARTITION BY c, treated) + 1e-5""",
+    "twin_first": """
+        SELECT caliper, stratum, treated, min(control) AS control, count(*) AS n_ties, min(dist) AS dist FROM twin_ties GROUP BY ALL""",
+    "twin_devs": """
+        SELECT f.*, x.c_acctbal AS c_acctbal_x, y.c_acctbal AS c_acctbal_y, x.avg_price AS avg_price_x, y.avg_price AS avg_price_y,
+               abs(x.c_acctbal - y.c_acctbal) AS c_acctbal_dev, abs(x.avg_price - y.avg_price) AS avg_price_dev,
+               abs(x.c_acctbal - y.c_acctbal) / sd1 AS c_acctbal_devz, abs(x.avg_price - y.avg_price) / sd2 AS avg_price_devz
+        FROM twin_first f JOIN twins x ON f.treated = x.c_custkey JOIN twins y ON f.control = y.c_custkey
+        JOIN twin_sds s ON s.c_mktsegment = f.stratum""",
 }
 
 CODE_PARTS = ("w1", "w2", "brand", "kind", "size")
