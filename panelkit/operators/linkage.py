@@ -4,44 +4,44 @@ Concordance of two codes is the number of equal parts; a missing part equals
 nothing. For each new code the old codes at the highest concordance are its
 candidates.
 
-No pair is formed to find them. Take the sets of parts in falling size. If no
-old code agrees with a new code on more than k parts, each old code agreeing on
-exactly k parts agrees on exactly one k-set. So the candidate count of a code at
-its best size is the sum, over the k-sets, of how many old codes share that
-combination of values. The old side is therefore counted per combination first
-(one row each, however hot the combination), and the new side looks the counts
-up. Pairs are written only by :func:`candidate_pairs`, where they are the
-result, and each comes from one combination only.
+No pair is formed to find them. If no old code agrees with a new code on more
+than k parts, each old code agreeing on exactly k parts agrees on exactly one
+set of k. So the candidate count of a code at its best size is the sum, over the
+sets of that size, of how many old codes share that combination of values. The
+old side is therefore counted per combination first (one row each, however hot
+the combination), and the new side looks the counts up. Pairs are written only
+by :func:`candidate_pairs`, where they are the result, and each comes from one
+combination only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NON_ALNUM
-from ..session import cut
+from ..session import cut, spread
 
 COMMENT_AUTO = "auto match"
 
 
-def _combination(parts: Sequence[str], chosen: tuple[int, ...]) -> Column:
-    values = [F.col(parts[i]) for i in chosen]
-    filled = values[0].isNotNull()
-    for v in values[1:]:
-        filled &= v.isNotNull()
-    # Lengths keep ("a","bc") apart from ("ab","c").
-    text = F.concat_ws("|", *[F.concat_ws(":", F.length(v), v) for v in values])
-    tag = ",".join(str(i) for i in chosen)
-    return F.when(filled, F.concat(F.lit(tag + "/"), text))
-
-
-def _combination_rows(df: DataFrame, keep: Sequence[str], parts: Sequence[str], k: int) -> DataFrame:
-    sets = [_combination(parts, c) for c in combinations(range(len(parts)), k)]
-    return df.select(*keep, F.explode(F.array_compact(F.array(*sets))).alias("combo"))
+def _combination_rows(
+    df: DataFrame, keep: Sequence[str], parts: Sequence[str], sizes: Sequence[int]
+) -> DataFrame:
+    """One row per set of k parts without a missing part: ``k`` and ``combo``,
+    the set and its values. A set is a bit mask over the parts."""
+    masks = [m for m in range(1, 2 ** len(parts)) if m.bit_count() in set(sizes)]
+    missing = " + ".join(f"if(`{p}` IS NULL, {1 << i}, 0)" for i, p in enumerate(parts))
+    # Lengths keep ("a", "bc") apart from ("ab", "c").
+    values = ", ".join(
+        f"if(m & {1 << i} = 0, '', concat(length(`{p}`), ':', `{p}`, '|'))" for i, p in enumerate(parts)
+    )
+    chosen = df.select(*keep, *parts, F.explode(F.expr(f"array({', '.join(map(str, masks))})")).alias("m"))
+    return chosen.where(F.expr(f"m & ({missing}) = 0")).select(
+        *keep, F.bit_count("m").alias("k"), F.expr(f"concat(m, '/', {values})").alias("combo")
+    )
 
 
 def _as_text(df: DataFrame, key: str, parts: Sequence[str], name: str) -> DataFrame:
@@ -55,32 +55,42 @@ def best_candidates(
 
     Columns ``new``, ``concordance``, ``n_candidates``, ``old`` (when there is
     exactly one) and ``comment``. Codes without any candidate have concordance
-    0. Each size of part set only sees codes not settled by a larger one.
+    0. Sets of more than half the parts are tried first, as their combinations
+    are rare; only the codes they leave open see the smaller sets.
     """
-    left = cut(_as_text(new, key, parts, "new"))
-    right = cut(_as_text(old, key, parts, "old"))
-    settled: list[DataFrame] = []
-    for k in range(len(parts), min_concordance - 1, -1):
-        counts = _combination_rows(right, ["old"], parts, k).groupBy("combo").agg(
+    left = cut(spread(_as_text(new, key, parts, "new").dropDuplicates(["new"])))
+    right = cut(spread(_as_text(old, key, parts, "old")))
+    sizes = range(len(parts), min_concordance - 1, -1)
+    large, small = [k for k in sizes if 2 * k > len(parts)], [k for k in sizes if 2 * k <= len(parts)]
+    found: list[DataFrame] = []
+    for group in (g for g in (large, small) if g):
+        counts = _combination_rows(right, ["old"], parts, group).groupBy("combo").agg(
             F.count(F.lit(1)).alias("n"), F.min("old").alias("old")
         )
-        found = cut(
-            _combination_rows(left, ["new"], parts, k)
-            .join(counts, "combo")
-            .groupBy("new")
-            .agg(F.sum("n").alias("n_candidates"), F.min("old").alias("old"))
-            .withColumn("concordance", F.lit(k))
+        per_size = [
+            F.struct(
+                F.lit(k).alias("k"),
+                F.sum(F.when(F.col("k") == k, F.col("n"))).alias("n"),
+                F.min(F.when(F.col("k") == k, F.col("old"))).alias("old"),
+            )
+            for k in group
+        ]
+        hits = _combination_rows(left, ["new"], parts, group).join(counts, "combo")
+        best = cut(
+            hits.groupBy("new")
+            .agg(F.filter(F.array(*per_size), lambda s: s.getField("n").isNotNull())[0].alias("b"))
+            .select("new", F.col("b.k").alias("concordance"), F.col("b.n").alias("n_candidates"),
+                    F.col("b.old").alias("old"))
         )
-        settled.append(found)
-        left = cut(left.join(found, "new", "left_anti"))
-    none = left.select(
-        "new", F.lit(0).cast("bigint").alias("n_candidates"),
-        F.lit(None).cast(right.schema["old"].dataType).alias("old"), F.lit(0).alias("concordance"),
+        found.append(best)
+        left = left.join(best, "new", "left_anti")
+    out = left.select(
+        "new", F.lit(0).alias("concordance"), F.lit(0).cast("bigint").alias("n_candidates"),
+        F.lit(None).cast("string").alias("old"),
     )
-    out = none
-    for part in settled:
+    for part in found:
         out = out.unionByName(part)
-    return accept_single(out)
+    return accept_single(out.withColumn("old", F.col("old").cast(right.schema["old"].dataType)))
 
 
 def accept_single(best: DataFrame) -> DataFrame:
@@ -100,14 +110,10 @@ def candidate_pairs(
     :func:`best_candidates`. The rows are the review list itself."""
     left = _as_text(new, key, parts, "new").join(best.select("new", "concordance"), "new")
     right = _as_text(old, key, parts, "old")
-    pairs = []
-    for k in range(len(parts), 0, -1):
-        here = _combination_rows(left.where(F.col("concordance") == k), ["new", "concordance"], parts, k)
-        pairs.append(here.join(_combination_rows(right, ["old"], parts, k), "combo").drop("combo"))
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
-    return out
+    sizes = range(len(parts), 0, -1)
+    here = _combination_rows(left, ["new", "concordance"], parts, sizes)
+    here = here.where(F.col("k") == F.col("concordance")).drop("k")
+    return here.join(_combination_rows(right, ["old"], parts, sizes).drop("k"), "combo").drop("combo")
 
 
 def exact_links(new: DataFrame, old: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, small_side
+from ..session import BROADCAST_ROWS, cut, small_side
 from .groups import group_counts
 from .joins import attach_stats, join_suffixed
 from .reshape import to_long
@@ -32,7 +32,7 @@ CALIPERS = tuple(range(25, 101, 5))
 CHOSEN_CALIPER = 70
 
 TIE_TOLERANCE = 1e-5
-LEAF_POINTS = 48
+LEAF_POINTS = 128
 GRID_DIMS = 3
 MAX_LEVELS = 60
 SLACK = 1e-9
@@ -105,8 +105,13 @@ def _prune(frontier: DataFrame, d: int) -> DataFrame:
     )
 
 
-def _search(queries: DataFrame, controls: DataFrame, d: int, width: float) -> DataFrame:
-    """Nearest eligible control vectors of each (qid, cal_id), ties kept."""
+def _search(queries: DataFrame, controls: DataFrame, few: bool, d: int, width: float) -> DataFrame:
+    """Nearest eligible control vectors of each (qid, cal_id), ties kept.
+
+    ``few`` says that the control vectors were counted and are few enough to
+    broadcast; cell tables have at most as many rows.
+    """
+    cells = (lambda df: df.hint("broadcast")) if few else small_side
     carry = ["qid", "cal_id", "cal", "stratum", *_names("u", d)]
     box = ["n", *_names("lo", d), *_names("hi", d)]
     q = queries.select(*carry, *_cells(0, d, width, "q"))
@@ -120,7 +125,7 @@ def _search(queries: DataFrame, controls: DataFrame, d: int, width: float) -> Da
         .select("stratum", *_names("q", d),
                 *[(F.col(f"q{j}") + F.col(f"s.s{j}")).alias(f"c{j}") for j in range(d)])
     )
-    roots = small_side(_cell_table(controls, 0, d, width).join(around, ["stratum", *_names("c", d)]))
+    roots = small_side(cells(_cell_table(controls, 0, d, width)).join(around, ["stratum", *_names("c", d)]))
     frontier = cut(_prune(
         q.join(roots, ["stratum", *_names("q", d)]).select(*carry, *_names("c", d), *box), d
     ))
@@ -130,12 +135,12 @@ def _search(queries: DataFrame, controls: DataFrame, d: int, width: float) -> Da
         if fullest <= LEAF_POINTS:
             break
         level += 1
-        children = small_side(_cell_table(controls, level, d, width))
+        children = cells(_cell_table(controls, level, d, width))
         up = frontier.select(*carry, *[F.col(f"c{j}").alias(f"p{j}") for j in range(d)])
         frontier = cut(_prune(
             up.join(children, ["stratum", *_names("p", d)]).select(*carry, *_names("c", d), *box), d
         ))
-    points = controls.select(
+    points = (controls.hint("broadcast") if few else controls).select(
         "stratum", *_cells(level, d, width, "c"), "ckey", "copies",
         *[F.col(f"u{j}").alias(f"v{j}") for j in range(d)],
     )
@@ -182,12 +187,13 @@ def sweep(
     controls = cut(scaled.where(~F.col("treated")).groupBy(*vector).agg(
         F.min("key").alias("ckey"), F.count(F.lit(1)).alias("copies")
     ))
-    queries = cut(scaled.where("treated").groupBy(*vector).agg(F.min("key").alias("qid")))
+    few = controls.count() <= BROADCAST_ROWS
+    queries = scaled.where("treated").groupBy(*vector).agg(F.min("key").alias("qid"))
     widest = max(calipers)
     width = widest / 100.0
 
     first = cut(_search(
-        queries.withColumn("cal_id", F.lit(widest)).withColumn("cal", F.lit(width)), controls, d, width
+        queries.withColumn("cal_id", F.lit(widest)).withColumn("cal", F.lit(width)), controls, few, d, width
     ))
     reach = first.where("at_min").groupBy("qid").agg(F.min("needed").alias("reach"))
     asked = queries.join(reach, "qid").select(
@@ -199,7 +205,7 @@ def sweep(
     again = cut(asked.where(F.col("cal") < F.col("reach")).drop("reach"))
     found = ready
     if not again.isEmpty():
-        found = ready.unionByName(_search(again, controls, d, width).drop("at_min"))
+        found = ready.unionByName(_search(again, controls, few, d, width).drop("at_min"))
 
     who = scaled.where("treated").join(queries, vector).select(
         F.col("key").alias("treated"), "stratum", "qid"
