@@ -64,13 +64,17 @@ def present_count(cols: Sequence[ColumnLike]) -> Column:
     return reduce(lambda a, b: a + b, [as_col(c).isNotNull().cast("int") for c in cols])
 
 
-def present_mean(cols: Sequence[ColumnLike]) -> Column:
-    """Row mean of the answers given; NULL when there is none."""
-    total = reduce(
+def present_sum(cols: Sequence[ColumnLike]) -> Column:
+    """Row sum of the answers given; 0 when there is none."""
+    return reduce(
         lambda a, b: a + b,
         [F.coalesce(as_col(c).cast("double"), F.lit(0.0)) for c in cols],
     )
-    return F.try_divide(total, present_count(cols).cast("double"))
+
+
+def present_mean(cols: Sequence[ColumnLike]) -> Column:
+    """Row mean of the answers given; NULL when there is none."""
+    return F.try_divide(present_sum(cols), present_count(cols))
 
 
 def paste(cols: Sequence[ColumnLike], sep: str = " ", missing: str = "NA") -> Column:

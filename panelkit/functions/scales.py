@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scoring import MISSING_LIMIT, mean_item, prorated_sum, reverse, shift
+from .missing import present_count, present_sum
+from .scoring import MISSING_LIMIT, least_answers, reverse, shift
 
 
 @dataclass(frozen=True)
@@ -102,6 +103,7 @@ def score(
     is not in the table is skipped."""
     by_prefix = {b.prefix: b for b in blocks}
     present = set(df.columns)
+    parts: dict[str, Column] = {}  # answer counts and sums, each used several times
     made: dict[str, Column] = {}
     for s in scales:
         if s.sum_of:
@@ -117,11 +119,13 @@ def score(
         answers = [block.recoded(n) for n in names]
         if s.how == "item":
             made[s.name] = answers[0].cast("double")
-        elif s.how == "mean":
-            made[s.name] = mean_item(answers, limit)
-        else:
-            made[s.name] = prorated_sum(answers, limit)
-    return df.withColumns(made)
+            continue
+        k = len(names)
+        count, total = f"_n_{s.name}", f"_sum_{s.name}"
+        parts[count], parts[total] = present_count(names), present_sum(answers)
+        per_item = F.when(F.col(count) >= least_answers(k, limit), F.col(total) / F.col(count))
+        made[s.name] = per_item if s.how == "mean" else per_item * F.lit(float(k))
+    return df.withColumns(parts).withColumns(made).drop(*parts)
 
 
 def middle_wave_scales() -> list[Scale]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .missing import ColumnLike, as_col, present_count, present_mean, strict_mean, strict_sum
+from .missing import ColumnLike, as_col, present_count, present_sum, strict_mean, strict_sum
 
 # Fixed value: largest share of unanswered items a score may have.
 MISSING_LIMIT = 0.2
@@ -18,14 +18,21 @@ def missing_share(items: Sequence[ColumnLike]) -> Column:
     return (F.lit(k) - present_count(items)) / F.lit(float(k))
 
 
+def least_answers(k: int, limit: float) -> int:
+    """Fewest answers out of ``k`` that keep the missing share within the
+    limit; at least one."""
+    return max(1, min(n for n in range(k + 1) if (k - n) / k <= limit))
+
+
 def prorated_sum(items: Sequence[ColumnLike], limit: float = 1.0) -> Column:
     """Mean of the answers given times the item count.
 
     NULL if the share of unanswered items is over ``limit`` (strictly), or if
     nothing was answered.
     """
-    score = present_mean(items) * F.lit(float(len(items)))
-    return F.when(missing_share(items) <= limit, score)
+    k = len(items)
+    n = present_count(items)
+    return F.when(n >= least_answers(k, limit), present_sum(items) / n * F.lit(float(k)))
 
 
 def shift(item: ColumnLike, by: int = -1) -> Column:

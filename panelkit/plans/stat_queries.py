@@ -303,9 +303,9 @@ def _(t):
     return rounded(rm_anova.rm_ancova(frame, ["y0", "y1", "y2"], between), 6, **RM_DIGITS)
 
 
-@query("t21_change_scores", "SELECT c_custkey, " + ", ".join(f"round({c}, 4) AS {c}" for c in TARGETS) + f" FROM {CHANGE_SQL}")
+@query("t21_change_scores", "SELECT c_custkey, " + ", ".join(f"round({c}, 6) AS {c}" for c in TARGETS) + f" FROM {CHANGE_SQL}")
 def _(t):
-    return rounded(_changes(t).select("c_custkey", *TARGETS), 4)
+    return rounded(_changes(t).select("c_custkey", *TARGETS), 6)
 
 
 @query("t22_attrition_means", ATTR_SQL + "SELECT stayed, count(*) AS n, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in ATTRITION) + " FROM attr GROUP BY stayed")
