@@ -167,20 +167,20 @@ def _(t):
 
 
 @query("a15_sd_grid", " UNION ALL ".join(
-    f"""SELECT '{c}' AS variable, c_mktsegment, round(avg({c}), 4) AS m, round(stddev_samp({c}), 4) AS sd, round(stddev_samp({c}) * 2 / 3, 4) AS sd_2_3,
+    f"""SELECT '{c}' AS variable, c_mktsegment, round(avg({c}), 6) AS m, round(stddev_samp({c}), 4) AS sd, round(stddev_samp({c}) * 2 / 3, 4) AS sd_2_3,
         round(stddev_samp({c}) * 0.55, 4) AS sd_055, round(stddev_samp({c}) / 2, 4) AS sd_1_2, round(stddev_samp({c}) / 3, 4) AS sd_1_3,
         round(stddev_samp({c}) / 4, 4) AS sd_1_4 FROM twins GROUP BY c_mktsegment""" for c in ("c_acctbal", "avg_price")))
 def _(t):
-    return rounded(groups.sd_grid(t.twins, ["c_acctbal", "avg_price"], ["c_mktsegment"]), 4)
+    return rounded(groups.sd_grid(t.twins, ["c_acctbal", "avg_price"], ["c_mktsegment"]), 4, m=6)
 
 
 @query("a15_sd_grid_floored", " UNION ALL ".join(
-    f"""SELECT '{c}' AS variable, c_mktsegment, round(avg({c}), 4) AS m, CAST(floor(stddev_samp({c})) AS BIGINT) AS sd,
+    f"""SELECT '{c}' AS variable, c_mktsegment, round(avg({c}), 6) AS m, CAST(floor(stddev_samp({c})) AS BIGINT) AS sd,
         CAST(floor(stddev_samp({c}) * 2 / 3) AS BIGINT) AS sd_2_3, CAST(floor(stddev_samp({c}) * CAST(0.55 AS DOUBLE)) AS BIGINT) AS sd_055,
         CAST(floor(stddev_samp({c}) / 2) AS BIGINT) AS sd_1_2, CAST(floor(stddev_samp({c}) / 3) AS BIGINT) AS sd_1_3,
         CAST(floor(stddev_samp({c}) / 4) AS BIGINT) AS sd_1_4 FROM twins GROUP BY c_mktsegment""" for c in ("c_acctbal", "avg_price")))
 def _(t):
-    return rounded(groups.sd_grid(t.twins, ["c_acctbal", "avg_price"], ["c_mktsegment"], floored=True), 4)
+    return rounded(groups.sd_grid(t.twins, ["c_acctbal", "avg_price"], ["c_mktsegment"], floored=True), 4, m=6)
 
 
 @query("a16_two_level_mean", """

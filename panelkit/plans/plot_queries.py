@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import groups, plotdata
 from ..stats import corr
 from .aggregate_queries import CELL_SQL
 from .registry import query, rounded
-from .stat_queries import ITEMS, MATRIX_SQL
+from .stat_queries import EIGEN_SQL, ITEMS, MATRIX_SQL
 
 
 @query("g1_histogram", """
@@ -55,8 +53,6 @@ def _(t):
     return rounded(plotdata.density_curve(t.events, "value", ["event_type"]), 8, x=6)
 
 
-@query("g9_scree_table")
+@query("g9_scree_table", EIGEN_SQL + "SELECT k, round(eigenvalue, 6) AS eigenvalue, round(eigenvalue / 3, 6) AS share FROM v")
 def _(t):
-    names = [f"v{k}" for k in range(12)]
-    flat = t.embeddings.select(*[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)])
-    return rounded(corr.factor_screen(flat, names).select("k", "eigenvalue", "share"))
+    return rounded(corr.factor_screen(t.items, ["i1", "i4", "i5"]).select("k", "eigenvalue", "share"))

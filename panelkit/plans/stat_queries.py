@@ -126,7 +126,24 @@ def _(t):
     return rounded(out.where("NOT (x = 'l_extendedprice' AND y = 'l_extendedprice')"), 8, cov=4)
 
 
-@query("t9_factor_screen")
+# Eigenvalues of a 3 x 3 correlation matrix have a closed form.
+EIGEN_SQL = f"""
+    WITH r AS (SELECT corr(i1, i4) AS a, corr(i1, i5) AS b, corr(i4, i5) AS c FROM items WHERE i1 IS NOT NULL AND i4 IS NOT NULL AND i5 IS NOT NULL),
+    f AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM r),
+    g AS (SELECT p, acos(a * b * c / pow(p, 3)) / 3 AS phi FROM f),
+    e AS (SELECT 1 + 2 * p * cos(phi) AS e1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM g),
+    v AS (SELECT unnest([{{'k': 1, 'eigenvalue': e1}}, {{'k': 2, 'eigenvalue': 3 - e1 - e3}}, {{'k': 3, 'eigenvalue': e3}}], recursive := true), e1 + e3 - 2 * (3 - e1 - e3) AS bend FROM e)
+    """
+
+
+@query("t9_factor_screen", EIGEN_SQL + """
+    SELECT k, round(eigenvalue, 6) AS eigenvalue, round(eigenvalue / 3, 6) AS share, CASE WHEN k = 2 THEN round(bend, 6) END AS acceleration,
+           eigenvalue > 1 AS over_one, k = 1 AS before_elbow FROM v""")
+def _(t):
+    return rounded(corr.factor_screen(t.items, ["i1", "i4", "i5"]))
+
+
+@query("t9_factor_screen_many")
 def _(t):
     names = [f"v{k}" for k in range(20)]
     flat = t.embeddings.select(*[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)])
@@ -174,6 +191,26 @@ def _(t):
     return rounded(predictors.elastic_net_path(_train(t), PREDICTORS, TARGETS), 6)
 
 
+# With one predictor every step of the path has a closed form.
+ONE_PATH_SQL = f"""
+    WITH d AS (SELECT avg_price_t0 AS x, avg_price_t2minust0 AS y FROM {CHANGE_SQL} WHERE {TRAIN_SQL}),
+    m AS (SELECT corr(x, y) AS r, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM d),
+    steps AS (SELECT m.*, CAST(k + 1 AS INT) AS step, abs(r) / 0.5 * pow(1e-4::DOUBLE, k / 1999.0) AS lam FROM m, (SELECT unnest(range(0, 2000)) AS k)),
+    fits AS (SELECT *, sign(r) * greatest(abs(r) - lam * 0.5, 0) / (1 + lam * 0.5) AS b FROM steps),
+    gains AS (SELECT *, 2 * r * b - b * b AS fit, lag(2 * r * b - b * b, 1, 0) OVER (ORDER BY step) AS before FROM fits),
+    ends AS (SELECT min(step) AS last FROM gains WHERE (step > 5 AND fit - before < 1e-5 * fit) OR fit > 0.999)
+    """
+
+
+@query("t12_elastic_net_one_predictor", ONE_PATH_SQL + f"""
+    SELECT '{TARGETS[0]}' AS target, step, round(lam * sy, 4) AS lambda, 'avg_price_t0' AS predictor, round(b * sy / sx, 8) AS beta
+    FROM gains, ends WHERE step <= coalesce(last, 2000) AND step > 1""")
+def _(t):
+    out = predictors.elastic_net_path(_train(t), ["avg_price_t0"], [TARGETS[0]])
+    # At the first step the coefficient is zero up to rounding.
+    return rounded(out.where("step > 1"), 8, **{"lambda": 4})
+
+
 @query("t13_predictor_ranking")
 def _(t):
     return predictors.rank_predictors(predictors.elastic_net_path(_train(t), PREDICTORS, TARGETS))
@@ -281,6 +318,7 @@ def _rm_frame(t):
     return t.wide.withColumns({**scaled, "sex": sex, "bal": F.col("c_acctbal") / 1000})
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 RM_DIGITS = {"df2": 4, "ss_error": 4, "f": 4, "p": 5}
 
 
@@ -298,8 +336,8 @@ def _(t):
 
 @query("t18_rm_ancova_many_terms")
 def _(t):
-    frame = groups.zscore(_rm_frame(t), ["c_acctbal", "n_orders_t0", "n_orders_t1"])
-    between = {"sex": ["f", "m"], "c_acctbal_z": None, "n_orders_t0_z": None, "n_orders_t1_z": None, "c_mktsegment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]}
+    frame = groups.zscore(_rm_frame(t), ["c_acctbal", "n_orders_t0"])
+    between = {"sex": ["f", "m"], "c_acctbal_z": None, "n_orders_t0_z": None, "c_mktsegment": SEGMENTS}
     return rounded(rm_anova.rm_ancova(frame, ["y0", "y1", "y2"], between), 6, **RM_DIGITS)
 
 
