@@ -8,8 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .missing import present_count, present_sum
-from .scoring import MISSING_LIMIT, least_answers, reverse, shift
+from .scoring import MISSING_LIMIT, least_answers
 
 
 @dataclass(frozen=True)
@@ -24,11 +23,13 @@ class Block:
     def items(self, df: DataFrame) -> list[str]:
         return [c for c in df.columns if c.lower().startswith(self.prefix.lower())]
 
-    def recoded(self, item: str) -> Column:
-        out = shift(item, self.shift) if self.shift else F.col(item)
+    def recoded(self, item: str) -> str:
+        """The recoded answer as SQL text: a battery has hundreds of items,
+        and one parsed text per score keeps building the plan quick."""
+        out = f"(`{item}` + {self.shift})" if self.shift else f"`{item}`"
         number = item[len(self.prefix):].lstrip("_")
         if number.isdigit() and int(number) in self.reversed_items:
-            out = reverse(out, self.low_plus_high)
+            out = f"({self.low_plus_high} - {out})"
         return out
 
 
@@ -118,11 +119,12 @@ def score(
             continue
         answers = [block.recoded(n) for n in names]
         if s.how == "item":
-            made[s.name] = answers[0].cast("double")
+            made[s.name] = F.expr(answers[0]).cast("double")
             continue
         k = len(names)
         count, total = f"_n_{s.name}", f"_sum_{s.name}"
-        parts[count], parts[total] = present_count(names), present_sum(answers)
+        parts[count] = F.expr(" + ".join(f"CAST(`{n}` IS NOT NULL AS INT)" for n in names))
+        parts[total] = F.expr(" + ".join(f"coalesce(CAST({a} AS DOUBLE), 0D)" for a in answers))
         per_item = F.when(F.col(count) >= least_answers(k, limit), F.col(total) / F.col(count))
         made[s.name] = per_item if s.how == "mean" else per_item * F.lit(float(k))
     return df.withColumns(parts).withColumns(made).drop(*parts)

@@ -177,17 +177,17 @@ class Tables:
     @cached_property
     def items(self) -> DataFrame:
         ids = ROW_ID.split(", ")
-        return self.lineitem.select(*ids, *[F.expr(e).alias(n) for n, e in ITEMS.items()])
+        return self.lineitem.selectExpr(*ids, *[f"{e} AS {n}" for n, e in ITEMS.items()])
 
     @cached_property
     def answers(self) -> DataFrame:
         ids = ROW_ID.split(", ")
-        return self.lineitem.select(*ids, *[F.expr(e).alias(n) for n, e in ANSWERS.items()])
+        return self.lineitem.selectExpr(*ids, *[f"{e} AS {n}" for n, e in ANSWERS.items()])
 
     @cached_property
     def survey(self) -> DataFrame:
-        return self.orders.select(
-            "o_orderkey", "o_custkey", *[F.expr(e).alias(n) for n, e in BATTERY_ITEMS.items()]
+        return self.orders.selectExpr(
+            "o_orderkey", "o_custkey", *[f"{e} AS {n}" for n, e in BATTERY_ITEMS.items()]
         )
 
     @cached_property

@@ -243,9 +243,8 @@ def _nested_query() -> str:
 def _(t):
     data = cut(_changes(t))
     # Ranks as given: alphabetical, the same for every target.
-    ranked = t.region.groupBy().agg(F.min("r_regionkey")).select(
-        F.explode(F.array(*[F.struct(F.lit(g).alias("target"), F.lit(p).alias("predictor"), F.lit(k).alias("row"))
-                            for g in TARGETS for k, p in enumerate(PREDICTORS, 1)])).alias("x")).select("x.*")
+    order = [(g, p, k) for g in TARGETS for k, p in enumerate(PREDICTORS, 1)]
+    ranked = t.spark.createDataFrame(order, "target string, predictor string, row int")
     out = predictors.nested_models(data, ranked, PREDICTORS, TARGETS)
     return rounded(out.select("target", "predictor", "row", "bic", "r_sq_adj", "f", "bic_diff_to_min"), 4, r_sq_adj=6)
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .corr import finish_test
 from .dist import f_tail
 from .moments import as_matrix, centred, cross_products
@@ -197,7 +198,8 @@ def choose_predictors(
     ``fit_on`` is "all" (models use every row) or "train".
     """
     train = df.where(train_flag(key))
-    ranked = rank_predictors(elastic_net_path(train, predictors, targets, alpha, length))
+    # A few rows per target, used twice below; the path is solved once.
+    ranked = cut(rank_predictors(elastic_net_path(train, predictors, targets, alpha, length)))
     models = nested_models(df if fit_on == "all" else train, ranked, predictors, targets)
     r = target_correlations(train, predictors, targets).select(
         "target", "predictor", F.col("r").alias("target_r"), F.col("p").alias("target_p")
