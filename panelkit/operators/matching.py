@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..session import BROADCAST_ROWS, cut, small_side
 from .groups import group_counts
 from .joins import attach_stats, join_suffixed
+from .keys import running_number
 from .reshape import to_long
 
 # Calipers tried, in hundredths of an SD, and the one chosen.
@@ -226,13 +227,32 @@ def first_ties(vectors: DataFrame) -> DataFrame:
     )
 
 
-def numbered_ties(vectors: DataFrame) -> DataFrame:
-    """Tied controls of a treated row in order of distance and key.
+def numbered_ties(
+    vectors: DataFrame, frame: DataFrame, key: str, treated: str, stratum: str,
+    covariates: Sequence[str],
+) -> DataFrame:
+    """Every tied control row of every treated row, numbered by distance, then
+    vector, then key.
 
-    Copies of one vector share a row and its lowest key.
+    Copies are numbered once per vector and shifted by the copies of the
+    vectors before it, so a hot vector is never sorted per treated row.
     """
-    w = Window.partitionBy("caliper", "treated").orderBy("dist", "control")
-    return vectors.withColumn("match_rank", F.row_number().over(w))
+    same = ["stratum", *covariates]
+    controls = frame.where(~F.col(treated)).select(
+        F.col(stratum).alias("stratum"), *covariates, F.col(key).alias("member")
+    ).dropna()
+    numbered = running_number(controls, same, ["member"], "place")
+    first = numbered.where("place = 1").select(*same, F.col("member").alias("control"))
+    members = numbered.join(first, same).select("control", "member", "place")
+    earlier = (
+        Window.partitionBy("caliper", "treated").orderBy("dist", "control")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    shifted = vectors.withColumn("_before", F.coalesce(F.sum("copies").over(earlier), F.lit(0)))
+    return shifted.join(members, "control").select(
+        "caliper", "stratum", "treated", F.col("member").alias("control"), "dist",
+        (F.col("_before") + F.col("place")).alias("match_rank"),
+    )
 
 
 def at_caliper(matches: DataFrame, hundredths: int = CHOSEN_CALIPER) -> DataFrame:

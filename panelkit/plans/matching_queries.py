@@ -33,8 +33,8 @@ def _(t):
 @query("j16_numbered_ties", """
     SELECT caliper, treated, control, row_number() OVER (PARTITION BY caliper, treated ORDER BY dist, control) AS match_rank FROM twin_ties""")
 def _(t):
-    _, vectors = _sweep(t)
-    ranked = matching.numbered_ties(vectors)
+    frame, vectors = _sweep(t)
+    ranked = matching.numbered_ties(vectors, frame, **KEYS)
     return ranked.select("caliper", "treated", "control", F.col("match_rank").cast("bigint").alias("match_rank"))
 
 

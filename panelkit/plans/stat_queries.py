@@ -24,7 +24,7 @@ def _changes(t):
 
 
 def _two_sample_sql(var: str) -> str:
-    d = f"(m1 - m0) / sd"
+    d = "(m1 - m0) / sd"
     half = f"{NORMAL} * sqrt(1.0 / n1 + 1.0 / n0 + pow({d}, 2) / (2 * (n1 + n0)))"
     t = f"(m1 - m0) / (sd * sqrt(1.0 / n1 + 1.0 / n0))"
     p = p_t(t, "n1 + n0 - 2")
@@ -216,8 +216,7 @@ def _(t):
     return predictors.rank_predictors(predictors.elastic_net_path(_train(t), PREDICTORS, TARGETS))
 
 
-def _nested_sql(target: str) -> str:
-    cols = [f"s.{p}" for p in PREDICTORS]
+def _nested_sql(target: str) -> tuple[str, str]:
     source = "(SELECT " + ", ".join(f"({p} - avg({p}) OVER ()) / stddev_samp({p}) OVER () AS {p}" for p in PREDICTORS) + f", ({target} - avg({target}) OVER ()) / stddev_samp({target}) OVER () AS y, stddev_samp({target}) OVER () AS sd FROM {CHANGE_SQL}) s"
     name = target.split("_t2")[0]
     ctes, last = orthogonal(f"base_{name}", list(PREDICTORS), f"q_{name}_")

@@ -95,13 +95,18 @@ def test_matching_with_hot_copies(spark):
     matching.LEAF_POINTS = 2  # forces deep searches
     try:
         calipers = [25, 55, 100]
-        vectors = matching.sweep(spark.createDataFrame(pdf), "k", "tr", "s", covs, calipers)
+        frame = spark.createDataFrame(pdf)
+        vectors = matching.sweep(frame, "k", "tr", "s", covs, calipers)
         got = matching.first_ties(vectors).toPandas()
+        ties = matching.numbered_ties(vectors, frame, "k", "tr", "s", covs).toPandas()
     finally:
         matching.LEAF_POINTS = old_leaf
     for c in calipers:
         part = got[got.caliper == c]
         assert dict(zip(part.treated, zip(part.control, part.n_ties))) == brute_match(pdf, covs, c / 100)
+        listed = ties[ties.caliper == c].groupby("treated").agg(n=("control", "nunique"), top=("match_rank", "max"))
+        sizes = part.set_index("treated").n_ties.sort_index()
+        assert (listed.n == sizes).all() and (listed.top == sizes).all()
 
 
 def test_matches_grow_with_the_caliper(spark):
