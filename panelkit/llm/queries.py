@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pieces
+from . import chat, mixing, pieces, quality
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -74,3 +74,8 @@ def op7(docs: DataFrame, sf_dir: str) -> DataFrame:
 @query("op10_piece_encoding", "documents")
 def op10(docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.digest_frame(docs, tokenizer_path())
+
+
+@query("op1_quality_outliers", "documents")
+def op1(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.verdicts(docs)
