@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pieces, quality
+from ..session import load
+from . import chat, mixing, pieces, quality, topk, toxicity
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -79,3 +80,26 @@ def op10(docs: DataFrame, sf_dir: str) -> DataFrame:
 @query("op1_quality_outliers", "documents")
 def op1(docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.verdicts(docs)
+
+
+@query("op3_toxicity", "documents")
+def op3(docs: DataFrame, sf_dir: str) -> DataFrame:
+    index = toxicity.fit(docs, load(docs.sparkSession, sf_dir, "labels"))
+    return toxicity.score_frame(docs, index).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "likeness")
+
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, [floor(x::DOUBLE * 256) FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@query("op9_exact_topk", "embeddings", TOPK_SQL)
+def op9(rows: DataFrame, sf_dir: str) -> DataFrame:
+    return topk.search(rows)
