@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import chat, mixing, pieces, quality, topk, toxicity
+from . import chat, jaccard, mixing, pieces, quality, topk, toxicity
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -103,3 +103,22 @@ FROM s QUALIFY rank <= 5
 @query("op9_exact_topk", "embeddings", TOPK_SQL)
 def op9(rows: DataFrame, sf_dir: str) -> DataFrame:
     return topk.search(rows)
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+                     FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+3], ' ') END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.d WHERE r.c < l.b)
+SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE d = documents.doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op5_jaccard_join", "documents", JACCARD_SQL)
+def op5(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.join(docs)
