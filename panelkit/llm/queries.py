@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import chat, jaccard, mixing, pieces, quality, topk, toxicity
+from . import chat, jaccard, mixing, pieces, quality, suffixes, topk, toxicity
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -122,3 +122,8 @@ FROM documents LEFT JOIN n USING (doc_id)
 @query("op5_jaccard_join", "documents", JACCARD_SQL)
 def op5(docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.join(docs)
+
+
+@query("op2_repeated_bytes", "documents")
+def op2(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffixes.cleaned(docs)
