@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import chat, jaccard, mixing, pieces, quality, suffixes, topk, toxicity
+from . import chat, jaccard, mixing, pieces, quality, suffixes, surrogates, topk, toxicity
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -127,3 +127,8 @@ def op5(docs: DataFrame, sf_dir: str) -> DataFrame:
 @query("op2_repeated_bytes", "documents")
 def op2(docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffixes.cleaned(docs)
+
+
+@query("op6_surrogates", "documents")
+def op6(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(docs).select("doc_id", "text", "n_entities", "entity_kinds")
