@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import chat, jaccard, mixing, pieces, quality, suffixes, surrogates, topk, toxicity
+from . import chat, jaccard, kneser, mixing, pieces, quality, suffixes, surrogates, topk, toxicity
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -132,3 +132,11 @@ def op2(docs: DataFrame, sf_dir: str) -> DataFrame:
 @query("op6_surrogates", "documents")
 def op6(docs: DataFrame, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(docs).select("doc_id", "text", "n_entities", "entity_kinds")
+
+
+@query("op8_ngram_model", "documents")
+def op8(docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = kneser.held_out(F.col("doc_id"))
+    model = kneser.train(docs.where(~out).select("text"))
+    return kneser.score_frame(docs, model).select(
+        "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
