@@ -65,7 +65,8 @@ class Encoder:
     """Encodes and decodes as the model file says; holds the tables of one worker."""
 
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int],
-                 skipped: set[int], bos: int, eos: int, dummy_prefix: bool = True):
+                 skipped: set[int], bos: int, eos: int, dummy_prefix: bool = True,
+                 unknown: tuple[int, str] = (-1, "")):
         self.pieces, self.bos, self.eos, self.dummy = pieces, bos, eos, dummy_prefix
         special = skipped | set(byte_ids)
         self.ids = {p: i for i, p in enumerate(pieces) if i not in special}
@@ -79,6 +80,9 @@ class Encoder:
         self.byte_ids = byte_ids
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
         self.text_of = ["" if i in special else p.replace(MARK, " ") for i, p in enumerate(pieces)]
+        self.unknown = unknown[0]
+        if unknown[0] >= 0:
+            self.text_of[unknown[0]] = unknown[1]
         # The longest piece that is a proper prefix, by id; -1: none.
         self.shorter = [-1] * len(pieces)
         self.trie = ahocorasick.Automaton()
@@ -180,8 +184,9 @@ class Encoder:
                     texts[run[0]] = characters(held)
                     run = []
         joined = "".join(texts)
-        first = next((t for t in texts if t), "")
-        return joined[1:] if self.dummy and first.startswith(" ") else joined
+        first = next((k for k, t in enumerate(texts) if t), None)
+        added = self.dummy and first is not None and texts[first].startswith(" ") and ids[first] != self.unknown
+        return joined[1:] if added else joined
 
 
 def characters(data: bytes) -> str:
@@ -233,7 +238,7 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 def load(model_path: str) -> Encoder:
     """Read a model file of the merge type with an identity normaliser."""
     pieces, scores, bytes_, skipped = [], [], {}, set()
-    dummy, special = True, {40: 0, 41: 1, 42: 2}
+    dummy, special, surface = True, {40: 0, 41: 1, 42: 2}, " \u2047 "
     with open(model_path, "rb") as file:
         for number, value in fields(file.read()):
             if number == 1:
@@ -250,6 +255,7 @@ def load(model_path: str) -> Encoder:
                 if trainer.get(3, 1) != 2:
                     raise ValueError("not a merge-type model")
                 special |= {k: trainer[k] for k in special if k in trainer}
+                surface = trainer[44].decode() if 44 in trainer else surface
             elif number == 3:
                 rules = dict(fields(value))
                 dummy = bool(rules.get(3, 1))
@@ -257,7 +263,8 @@ def load(model_path: str) -> Encoder:
                     raise ValueError("only the identity normaliser that keeps all spaces is covered")
     if len(bytes_) != 256:
         raise ValueError("the model has no byte pieces")
-    return Encoder(pieces, scores, [bytes_[b] for b in range(256)], skipped, special[41], special[42], dummy)
+    return Encoder(pieces, scores, [bytes_[b] for b in range(256)], skipped, special[41], special[42], dummy,
+                   (special[40], surface))
 
 
 def encode_frame(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "text") -> DataFrame:

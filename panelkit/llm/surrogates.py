@@ -213,24 +213,28 @@ def later_attempts(found: DataFrame, key: bytes) -> DataFrame:
             yield pa.record_batch([batch["kind"], batch["entity"], batch["attempt"], pa.array(new, pa.string())], names=["kind", "entity", "attempt", "new"])
 
     form = "kind string, entity string, attempt int, new string"
+    return settled(found, lambda waiting: waiting.mapInArrow(draw, form))
+
+
+def settled(found: DataFrame, draw: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """kind, entity, attempt of the entities that lose their first draw: rounds of drawing
+    until all surrogates differ from each other and from all entities."""
     waiting, taken, late = found.withColumn("attempt", F.lit(0)), None, None
     while True:
-        drawn = stored(waiting.mapInArrow(draw, form), "drawn")
+        drawn = stored(draw(waiting), "drawn")
         real = drawn.join(found.select("kind", F.col("entity").alias("new")), ["kind", "new"], "left_semi").select("kind", "new").distinct()
         best = drawn.groupBy("kind", "new").agg(F.min("entity").alias("entity")).join(real, ["kind", "new"], "left_anti")
         if taken is not None:
             best = best.join(taken, ["kind", "new"], "left_anti")
         won = stored(best, "won")
         if late is None:
-            taken = won.select("kind", "new")
+            late, taken = drawn.limit(0).select("kind", "entity", "attempt"), won.select("kind", "new")
         else:
             own = drawn.join(won, ["kind", "new", "entity"], "left_semi").select("kind", "entity", "attempt")
             late, taken = late.unionByName(own), taken.union(won.select("kind", "new"))
-        lost = drawn.join(won, ["kind", "new", "entity"], "left_anti").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
-        late = lost.limit(0) if late is None else late
-        if lost.limit(1).count() == 0:
+        waiting = drawn.join(won, ["kind", "new", "entity"], "left_anti").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
+        if waiting.limit(1).count() == 0:
             return stored(late, "late")
-        waiting = lost
 
 
 def pseudonymise(docs: DataFrame, key: bytes = b"panelkit", text: str = "text") -> DataFrame:

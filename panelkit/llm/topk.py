@@ -52,6 +52,10 @@ def farthest_first(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[picked]
 
 
+def _stacked(vectors: list, dim: int) -> np.ndarray:
+    return np.array(vectors, float).reshape(len(vectors), dim)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), dim)
@@ -75,7 +79,7 @@ def pivot_table(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE)
     drawn = vectors.select("dim", "v").orderBy(F.xxhash64("uid"), "uid").limit(sample).collect()
     space = {}
     for dim, m in most.items():
-        own = np.array([r.v for r in drawn if r.dim == dim], float).reshape(-1, dim)
+        own = _stacked([r.v for r in drawn if r.dim == dim], dim)
         space[dim] = (farthest_first(own, pivots) if len(own) else np.zeros((1, dim)), m)
 
     def run(batches):
@@ -155,7 +159,7 @@ def search(rows: DataFrame, k: int = 5, every: int = 50, id: str = "vec_id", vec
         for r in asked:
             by_dim.setdefault(r.dim, []).append(r)
         sent = spark.sparkContext.broadcast({dim: (
-            [r.uid for r in own], [r.id for r in own], np.array([r.v for r in own], float).reshape(-1, dim)) for dim, own in by_dim.items()})
+            [r.uid for r in own], [r.id for r in own], _stacked([r.v for r in own], dim)) for dim, own in by_dim.items()})
 
         def run(batches, sent=sent):
             states = {dim: Search(uids, q, *space[dim], k) for dim, (uids, _, q) in sent.value.items()}
