@@ -162,28 +162,37 @@ def _search(queries: DataFrame, controls: DataFrame, few: bool, d: int, width: f
     )
 
 
-def sweep(
+def scaled_rows(
     frame: DataFrame, key: str, treated: str, stratum: str, covariates: Sequence[str],
-    calipers: Sequence[int] = CALIPERS,
 ) -> DataFrame:
-    """Match at every caliper. Returns one row per (caliper, treated row, tied
-    control vector): ``caliper`` (hundredths), ``stratum``, ``treated``,
-    ``control`` (lowest key of the vector), ``copies``, ``dist``, ``needed``.
-
-    The widest caliper is searched first. A nearest control that also meets a
-    narrower caliper is the answer there too, so only the calipers it misses
-    are searched again.
-    """
+    """Complete rows with covariates in SDs of their stratum, materialised: ``key``,
+    ``treated``, ``stratum``, ``u0``... Vectors are equal if these are."""
     d = len(covariates)
     data = frame.select(
         F.col(key).alias("key"), F.col(treated).alias("treated"), F.col(stratum).alias("stratum"),
         *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(covariates)],
     ).dropna()
     sds = data.groupBy("stratum").agg(*[F.stddev_samp(f"x{j}").alias(f"sd{j}") for j in range(d)])
-    scaled = cut(attach_stats(data, sds, ["stratum"]).select(
+    return cut(attach_stats(data, sds, ["stratum"]).select(
         "key", "treated", "stratum",
         *[F.coalesce(F.try_divide(f"x{j}", f"sd{j}"), F.lit(0.0)).alias(f"u{j}") for j in range(d)],
     ))
+
+
+def sweep(
+    frame: DataFrame, key: str, treated: str, stratum: str, covariates: Sequence[str],
+    calipers: Sequence[int] = CALIPERS, scaled: DataFrame | None = None,
+) -> DataFrame:
+    """Match at every caliper. Returns one row per (caliper, treated row, tied
+    control vector): ``caliper`` (hundredths), ``stratum``, ``treated``,
+    ``control`` (lowest key of the vector), ``copies``, ``dist``, ``needed``.
+
+    The widest caliper is searched first. A nearest control that also meets a
+    narrower caliper is the answer there too, so only the calipers it misses
+    are searched again. ``scaled`` hands over rows of :func:`scaled_rows`.
+    """
+    d = len(covariates)
+    scaled = scaled_rows(frame, key, treated, stratum, covariates) if scaled is None else scaled
     vector = ["stratum", *_names("u", d)]
     controls = cut(scaled.where(~F.col("treated")).groupBy(*vector).agg(
         F.min("key").alias("ckey"), F.count(F.lit(1)).alias("copies")
@@ -227,20 +236,15 @@ def first_ties(vectors: DataFrame) -> DataFrame:
     )
 
 
-def numbered_ties(
-    vectors: DataFrame, frame: DataFrame, key: str, treated: str, stratum: str,
-    covariates: Sequence[str],
-) -> DataFrame:
+def numbered_ties(vectors: DataFrame, scaled: DataFrame) -> DataFrame:
     """Every tied control row of every treated row, numbered by distance, then
-    vector, then key.
+    vector, then key. ``scaled`` are the rows that ``vectors`` were found from.
 
     Copies are numbered once per vector and shifted by the copies of the
     vectors before it, so a hot vector is never sorted per treated row.
     """
-    same = ["stratum", *covariates]
-    controls = frame.where(~F.col(treated)).select(
-        F.col(stratum).alias("stratum"), *covariates, F.col(key).alias("member")
-    ).dropna()
+    same = ["stratum", *[c for c in scaled.columns if c.startswith("u")]]
+    controls = scaled.where(~F.col("treated")).select(*same, F.col("key").alias("member"))
     numbered = running_number(controls, same, ["member"], "place")
     first = numbered.where("place = 1").select(*same, F.col("member").alias("control"))
     members = numbered.join(first, same).select("control", "member", "place")

@@ -33,8 +33,9 @@ def _(t):
 @query("j16_numbered_ties", """
     SELECT caliper, treated, control, row_number() OVER (PARTITION BY caliper, treated ORDER BY dist, control) AS match_rank FROM twin_ties""")
 def _(t):
-    frame, vectors = _sweep(t)
-    ranked = matching.numbered_ties(vectors, frame, **KEYS)
+    frame = cut(t.twins)
+    scaled = matching.scaled_rows(frame, **KEYS)
+    ranked = matching.numbered_ties(cut(matching.sweep(frame, scaled=scaled, **KEYS)), scaled)
     return ranked.select("caliper", "treated", "control", F.col("match_rank").cast("bigint").alias("match_rank"))
 
 
