@@ -50,39 +50,49 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     )
 
 
-def density_curve(
-    df: DataFrame, value: str, by: Sequence[str], bins: int = 256, points: int = 64
-) -> DataFrame:
+# Bins per bandwidth, and bandwidths after which the kernel counts as 0.
+BINS_PER_BANDWIDTH, REACH = 16, 8
+
+
+def density_curve(df: DataFrame, value: str, by: Sequence[str], points: int = 64) -> DataFrame:
     """Gaussian kernel density on an even grid over each group's range.
 
-    Rows are first counted in narrow bins, so the kernel sum is over at most
-    ``bins`` rows per group. Bandwidth: 0.9 min(SD, IQR / 1.34) n^(-1/5).
+    Bandwidth: 0.9 s n^(-1/5), s being min(SD, IQR / 1.34), or where that is 0 the SD,
+    or else the size of the least value, or else 1; so constant groups have a curve. Rows
+    are first counted in bins of a sixteenth of the bandwidth, which stand at the mean of
+    their rows, and a bin meets only the grid points within reach of its kernel.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    rows = df.select(*by, x.alias("_x")).where((F.abs("_x") < float("inf")))
     q = quantiles(rows, "_x", [0.25, 0.75], by).select(*by, (F.col("q")[1] - F.col("q")[0]).alias("_iqr"))
     stats = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
         F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
     )
+    positive = lambda c: F.when(c > 0, c)
+    spread = F.coalesce(
+        positive(F.least(F.col("_sd"), F.col("_iqr") / 1.34)), positive(F.col("_sd")), positive(F.abs("_lo")), F.lit(1.0))
     stats = attach_stats(stats, q, by).withColumn(
-        "_bw",
-        F.lit(0.9) * F.least(F.col("_sd"), F.col("_iqr") / 1.34) * F.pow(F.col("_n").cast("double"), F.lit(-0.2)),
-    ).where("_hi > _lo AND _bw > 0")
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    at = F.least(F.floor((F.col("_x") - F.col("_lo")) / step), F.lit(bins - 1))
+        "_bw", F.lit(0.9) * spread * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    step = F.col("_bw") / BINS_PER_BANDWIDTH
     counted = (
         attach_stats(rows, stats, by).where("_n IS NOT NULL")
-        .groupBy(*by, "_n", "_lo", "_hi", "_bw", at.alias("_bin"))
-        .agg(F.count(F.lit(1)).alias("_w"))
+        .groupBy(*by, "_n", "_lo", "_hi", "_bw", F.floor((F.col("_x") - F.col("_lo")) / step).alias("_bin"))
+        .agg(F.count(F.lit(1)).alias("_w"), F.avg("_x").alias("_c"))
     )
-    centre = F.col("_lo") + (F.col("_bin") + 0.5) * step
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_k")
-    point = F.col("_lo") + F.col("_k") * (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))
-    u = (F.col("x") - F.col("_c")) / F.col("_bw")
+    gap = (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))
+    point = F.col("_lo") + F.col("_k") * gap
+    centre = F.col("_c") - F.col("_lo")
+    reach = REACH * F.col("_bw")
+    # Without a range all points are the same one.
+    first = F.when(gap > 0, F.ceil((centre - reach) / gap)).otherwise(0)
+    last = F.when(gap > 0, F.floor((centre + reach) / gap)).otherwise(points - 1)
+    first, last = F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(points - 1)).cast("int")
+    met = F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))).alias("_k")
+    u = (point - F.col("_lo") - centre) / F.col("_bw")
     kernel = F.exp(-u * u / 2) / F.lit(math.sqrt(2 * math.pi))
-    return (
-        counted.withColumn("_c", centre).select("*", grid).withColumn("x", point)
-        .groupBy(*by, "_k", "x")
-        .agg((F.sum(F.col("_w") * kernel / (F.col("_n") * F.col("_bw")))).alias("density"))
-        .withColumnRenamed("_k", "point")
-    )
+    heights = counted.select("*", met).groupBy(*by, "_k").agg(
+        F.sum(F.col("_w") * kernel / (F.col("_n") * F.col("_bw"))).alias("_density"))
+    grid = stats.select(*by, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_k"))
+    return attach_stats(grid, heights, [*by, "_k"]).select(
+        *by, F.col("_k").alias("point"), point.alias("x"), F.coalesce("_density", F.lit(0.0)).alias("density"))

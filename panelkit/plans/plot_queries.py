@@ -43,12 +43,14 @@ def _(t):
 
 @query("g6_density_curve", """
     WITH q AS (SELECT event_type AS k, count(*) AS n, stddev_samp(value) AS sd, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr,
-                      min(value) AS lo, max(value) AS hi FROM events GROUP BY 1),
-    s AS (SELECT *, 0.9 * least(sd, iqr / 1.34) * pow(n, -0.2::DOUBLE) AS bw, (hi - lo) / 256 AS step FROM q),
-    b AS (SELECT event_type, n, lo, hi, bw, step, least(floor((value - lo) / step), 255) AS bin, count(*) AS w FROM events JOIN s ON event_type = k GROUP BY ALL),
-    g AS (SELECT b.*, CAST(p AS INT) AS point, lo + p * (hi - lo) / 63 AS x FROM b, (SELECT unnest(range(0, 64)) AS p))
-    SELECT event_type, point, round(x, 6) AS x, round(sum(w * exp(-pow((x - lo - (bin + 0.5) * step) / bw, 2) / 2) / sqrt(2 * pi()) / (n * bw)), 8) AS density
-    FROM g GROUP BY event_type, point, x""")
+                      min(value) AS lo, max(value) AS hi FROM events WHERE isfinite(value) GROUP BY 1),
+    s AS (SELECT *, 0.9 * coalesce(CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) END, nullif(sd, 0), nullif(abs(lo), 0), 1)
+                 * pow(n, -0.2::DOUBLE) AS bw, (hi - lo) / 63 AS gap FROM q),
+    b AS (SELECT k, n, lo, bw, gap, floor((value - lo) / (bw / 16)) AS bin, count(*) AS w, avg(value) - any_value(lo) AS c FROM events JOIN s ON event_type = k GROUP BY ALL),
+    g AS (SELECT s.*, CAST(p AS INT) AS point, lo + p * gap AS x FROM s, (SELECT unnest(range(0, 64)) AS p))
+    SELECT g.k AS event_type, point, round(x, 6) AS x, round(coalesce(sum(w * exp(-pow((point * g.gap - c) / g.bw, 2) / 2)
+             / sqrt(2 * pi()) / (g.n * g.bw)) FILTER (abs(point * g.gap - c) <= 8 * g.bw), 0), 8) AS density
+    FROM g LEFT JOIN b ON g.k = b.k GROUP BY g.k, point, x""")
 def _(t):
     return rounded(plotdata.density_curve(t.events, "value", ["event_type"]), 8, x=6)
 
