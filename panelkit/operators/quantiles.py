@@ -16,10 +16,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, cut
+from ..session import BROADCAST_ROWS, cut, small_side
 
 BINS = 1024
-# Up to this many values in a group, the built-in exact aggregate is used.
+# A group with up to this many values goes through the built-in exact aggregate; the
+# others are counted. Both give the same order statistics.
 DIRECT_ROWS = 1_000_000
 
 
@@ -42,13 +43,20 @@ def quantiles(
     """
     values = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v"))
     sizes = values.groupBy(*by).agg(F.count("_v").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= direct_rows:
-        return values.groupBy(*by).agg(
-            F.count("_v").alias("n"),
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
-        )
-    return _by_counting(values, probs, list(by))
+    large = sizes.where(F.col("n") > direct_rows)
+    direct = lambda rows: rows.groupBy(*by).agg(
+        F.count("_v").alias("n"),
+        F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
+    )
+    if large.isEmpty():
+        return direct(values)
+    if not by or direct_rows == 0:
+        return _by_counting(values, probs, list(by))
+    # Few groups are large: their keys are a small side unless proven otherwise.
+    marks = small_side(large.select(*[F.col(b).alias(f"_l_{b}") for b in by]))
+    hot = values.join(marks, _same(list(by), "_l_"), "left_semi")
+    rest = values.join(marks, _same(list(by), "_l_"), "left_anti")
+    return direct(rest).unionByName(_by_counting(hot, probs, list(by)))
 
 
 def _by_counting(values: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
@@ -87,7 +95,9 @@ def _by_counting(values: DataFrame, probs: Sequence[float], by: list[str]) -> Da
     low = F.max(F.when(F.col("up") == 0, F.col("lo")))
     high = F.max(F.when(F.col("up") == 1, F.col("lo")))
     frac = F.max(F.col("h") - F.floor("h"))
-    per_prob = state.groupBy(*groups, "n", "i").agg((low + (high - low) * frac).alias("v"))
+    # Between equal order statistics, or on one, infinite values must not meet in a difference.
+    between = F.when((low == high) | (frac == 0), low).otherwise(low + (high - low) * frac)
+    per_prob = state.groupBy(*groups, "n", "i").agg(between.alias("v"))
     return (
         per_prob.groupBy(*groups, "n")
         .agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("pairs"))
@@ -106,7 +116,16 @@ def _narrow(values: DataFrame, state: DataFrame, groups: list[str], n_open: int)
     if n_open <= BROADCAST_ROWS:
         intervals = F.broadcast(intervals)
     inside = _same(groups, "_s_") & (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
-    position = (F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(BINS))
+    # An interval with an infinite end is split into the infinite values and the rest; a
+    # width that is no number any more is halved first. Every round thus narrows.
+    infinite = F.lit(float("inf"))
+    width = F.col("hi") - F.col("lo")
+    scaled = F.when(width < infinite, (F.col("_v") - F.col("lo")) / width).otherwise(
+        (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+    position = F.when(
+        (F.col("lo") == -infinite) | (F.col("hi") == infinite),
+        F.when(F.col("_v") == -infinite, 0.0).when(F.col("_v") == infinite, float(BINS)).otherwise(1.0),
+    ).otherwise(scaled * F.lit(float(BINS)))
     bins = (
         values.join(intervals, inside, "inner")
         .groupBy(*groups, "lo", "hi", F.least(F.floor(position), F.lit(BINS - 1)).alias("bin"))

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.dates import days_between
 from ..functions.labels import label
 
-# One-hot columns a table may get; more is an error, never a silent cut.
-MAX_LEVELS = 1000
-
 
 def to_long(
     df: DataFrame, ids: Sequence[str], cols: Sequence[str],
@@ -42,10 +39,9 @@ def to_wide(
 
 
 def levels(df: DataFrame, col: str) -> list:
-    """The distinct values of a category, sorted, missing last."""
-    found = [r[0] for r in df.select(col).distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} levels")
+    """The distinct values of a category, sorted, missing last. They become columns, so
+    they come to the driver; give :func:`one_hot` its values to avoid that."""
+    found = [r[0] for r in df.select(col).distinct().collect()]
     return sorted([v for v in found if v is not None]) + [v for v in found if v is None]
 
 
