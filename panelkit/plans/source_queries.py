@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import linkage
-from ..session import scratch_path
+from ..session import load, scratch_path
 from ..sources import readers, writers
 from .join_queries import LINK_SQL, _sides
 from .panel import CODE_PARTS
@@ -16,19 +16,51 @@ ORDERS = T.StructType([
     T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType()),
     T.StructField("o_orderstatus", T.StringType()), T.StructField("answer", T.StringType()),
 ])
-ORDERS_SQL = "SELECT o_orderkey, o_totalprice, o_orderstatus, nullif(answer, '') AS answer FROM orders JOIN typed USING (o_orderkey)"
+ORDERS_SQL = "SELECT o_orderkey, o_totalprice / 7 AS o_totalprice, o_orderstatus, nullif(answer, '') AS answer FROM orders JOIN typed USING (o_orderkey)"
+# Real text with line breaks, quotes and separators.
+TEXTS_SQL = "SELECT doc_id, nullif(text, '') AS text, n_chars / 7.0::DOUBLE AS share FROM documents"
+TEXTS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("share", T.DoubleType()),
+])
+
+
+def _texts(t):
+    return load(t.spark, t.sf_dir, "documents").select(
+        F.col("doc_id").cast("bigint"), F.nullif("text", F.lit("")).alias("text"), (F.col("n_chars") / 7).alias("share"))
 
 
 def _orders(t):
     typed = t.typed.withColumn("answer", F.nullif("answer", F.lit("")))
-    return t.orders.join(typed, "o_orderkey").select(*ORDERS.names)
+    rows = t.orders.join(typed, "o_orderkey").withColumn("o_totalprice", F.col("o_totalprice") / 7)
+    return rows.select(*ORDERS.names)
 
 
 @query("s1_decimal_comma_csv", ORDERS_SQL)
 def _(t):
     path = scratch_path(t.spark, "decimal-comma")
     writers.write_decimal_comma_csv(_orders(t), path)
-    return readers.read_decimal_comma_csv(t.spark, path, ORDERS)
+    return readers.read_decimal_comma_csv(t.spark, path, ORDERS, escaped=True)
+
+
+@query("s1_texts_decimal_comma_csv", TEXTS_SQL)
+def _(t):
+    path = scratch_path(t.spark, "texts")
+    writers.write_decimal_comma_csv(_texts(t), path)
+    return readers.read_decimal_comma_csv(t.spark, path, TEXTS, escaped=True)
+
+
+@query("s2_texts_utf16_tsv", TEXTS_SQL)
+def _(t):
+    path = scratch_path(t.spark, "texts-utf16")
+    writers.write_tsv(_texts(t), path, "UTF-16LE")
+    return readers.read_tsv(t.spark, path, TEXTS, "UTF-16LE", escaped=True)
+
+
+@query("s3_texts_tsv", TEXTS_SQL)
+def _(t):
+    path = scratch_path(t.spark, "texts-tsv")
+    writers.write_tsv(_texts(t), path)
+    return readers.read_tsv(t.spark, path, TEXTS, escaped=True)
 
 
 @query("s2_utf16_tsv", "SELECT c_custkey, c_name || ' Größe' AS name FROM customer")
@@ -36,14 +68,14 @@ def _(t):
     path = scratch_path(t.spark, "utf16")
     writers.write_tsv(t.customer.select("c_custkey", F.concat("c_name", F.lit(" Größe")).alias("name")), path, "UTF-16LE")
     schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("name", T.StringType())])
-    return readers.read_tsv(t.spark, path, schema, "UTF-16LE")
+    return readers.read_tsv(t.spark, path, schema, "UTF-16LE", escaped=True)
 
 
 @query("s3_utf8_tsv", ORDERS_SQL)
 def _(t):
     path = scratch_path(t.spark, "tsv")
     writers.write_tsv(_orders(t), path)
-    return readers.read_tsv(t.spark, path, ORDERS)
+    return readers.read_tsv(t.spark, path, ORDERS, escaped=True)
 
 
 @query("s4_decode_labels", "SELECT c_custkey, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -69,7 +101,7 @@ def _(t):
     )
     path = scratch_path(t.spark, "decisions")
     writers.write_decimal_comma_csv(sheet, path)
-    return readers.read_decisions(t.spark, path)
+    return readers.read_decisions(t.spark, path, escaped=True)
 
 
 @query("s7_literal_table", """
@@ -85,8 +117,7 @@ def _(t):
     best = linkage.best_candidates(new, old, "code", CODE_PARTS)
     path = scratch_path(t.spark, "candidates")
     writers.write_candidates(linkage.candidate_pairs(new, old, "code", CODE_PARTS, best), path)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("new", "old")] + [T.StructField("concordance", T.IntegerType())])
-    return t.spark.read.schema(schema).options(header=True, sep=";").csv(path)
+    return readers.read_candidates(t.spark, path)
 
 
 @query("s9_snapshot", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")

@@ -11,35 +11,61 @@ from pyspark.sql import types as T
 from ..session import small_side
 
 
+# Quotes in text are doubled, so a backslash is an ordinary character.
+QUOTING = {"escape": '"'}
+
+
+def _unescaped(df: DataFrame) -> DataFrame:
+    """Undo :func:`panelkit.sources.writers.escaped` in every text column."""
+    def plain(c):
+        c = F.replace(F.col(c), F.lit("\\n"), F.lit("\n"))
+        return F.replace(F.replace(c, F.lit("\\r"), F.lit("\r")), F.lit("\\e"), F.lit("\\"))
+
+    return df.select(*[plain(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
 def read_decimal_comma_csv(
-    spark: SparkSession, path: str, schema: T.StructType, scale: int = 6,
-    timestamp_format: str | None = None,
+    spark: SparkSession, path: str, schema: T.StructType,
+    timestamp_format: str | None = None, escaped: bool = False,
 ) -> DataFrame:
-    """``;``-separated CSV whose numbers use a decimal comma.
+    """``;``-separated CSV whose numbers use a decimal comma (and may use points between
+    thousands).
 
-    A comma is only understood in decimal fields, so doubles are read as
-    decimals and cast.
+    Decimal numbers are read as text and converted, so all digits and the whole range of
+    doubles are kept. A field that is no number, and a malformed row, are errors.
+    ``escaped`` undoes the writer's escapes of line breaks in text.
     """
-    as_decimal = T.StructType([
-        T.StructField(f.name, T.DecimalType(38, scale), True)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else f
-        for f in schema
+    decimal = (T.DoubleType, T.FloatType, T.DecimalType)
+    as_text = T.StructType([
+        T.StructField(f.name, T.StringType(), True) if isinstance(f.dataType, decimal) else f for f in schema
     ])
-    reader = spark.read.schema(as_decimal).options(header=True, sep=";", locale="de-DE")
+    reader = spark.read.schema(as_text).options(header=True, sep=";", mode="FAILFAST", **QUOTING)
     if timestamp_format:
         reader = reader.option("timestampFormat", timestamp_format)
         reader = reader.option("timestampNTZFormat", timestamp_format)
-    return reader.csv(path).select(*[F.col(f.name).cast(f.dataType) for f in schema])
+    rows = reader.csv(path)
+    rows = _unescaped(rows) if escaped else rows
+
+    def number(f: T.StructField):
+        text = F.trim(f.name)
+        plain = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        value = plain.try_cast(f.dataType)
+        bad = F.raise_error(F.concat(F.lit(f"not a number in {f.name}: "), text)).cast(f.dataType)
+        return F.when((text == "") | text.isNull() | value.isNotNull(), value).otherwise(bad).alias(f.name)
+
+    return rows.select(*[number(f) if isinstance(f.dataType, decimal) else F.col(f.name) for f in schema])
 
 
 def read_tsv(
-    spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8"
+    spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8", escaped: bool = False
 ) -> DataFrame:
-    reader = spark.read.schema(schema).options(header=True, sep="\t", encoding=encoding)
+    """Tab-separated text; a malformed row is an error. ``escaped`` as above."""
+    reader = spark.read.schema(schema).options(header=True, sep="\t", encoding=encoding, mode="FAILFAST", **QUOTING)
     if encoding.upper().startswith("UTF-16"):
         # The line end must be given for an encoding that is not UTF-8.
         reader = reader.option("lineSep", "\n")
-    return reader.csv(path)
+    rows = reader.csv(path)
+    return _unescaped(rows) if escaped else rows
 
 
 def read_codes(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -71,9 +97,20 @@ DECISIONS = T.StructType([
 ])
 
 
-def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """The reviewed match decisions, exported as ``;`` CSV."""
-    return spark.read.schema(DECISIONS).options(header=True, sep=";").csv(path)
+def read_decisions(spark: SparkSession, path: str, escaped: bool = False) -> DataFrame:
+    """The reviewed match decisions, exported as ``;`` CSV; a malformed row is an error."""
+    rows = spark.read.schema(DECISIONS).options(header=True, sep=";", mode="FAILFAST", **QUOTING).csv(path)
+    return _unescaped(rows) if escaped else rows
+
+
+CANDIDATES = T.StructType([
+    T.StructField("new", T.StringType()), T.StructField("old", T.StringType()), T.StructField("concordance", T.IntegerType()),
+])
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Candidate pairs as :func:`panelkit.sources.writers.write_candidates` leaves them."""
+    return _unescaped(spark.read.schema(CANDIDATES).options(header=True, sep=";", mode="FAILFAST", **QUOTING).csv(path))
 
 
 def snapshot_read(spark: SparkSession, path: str) -> DataFrame:

@@ -6,19 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .readers import QUOTING
+
+
+def escaped(df: DataFrame) -> DataFrame:
+    """Line breaks in text as ``\\n`` and ``\\r``, backslashes as ``\\e``, so that a row
+    stays a line and files can be split."""
+    def plain(c):
+        c = F.replace(F.col(c), F.lit("\\"), F.lit("\\e"))
+        return F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+    return df.select(*[plain(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
 
 def write_decimal_comma_csv(df: DataFrame, path: str, missing: str = "") -> None:
     """``;``-separated CSV with a decimal comma, for spreadsheets."""
-    out = df.select(*[
+    out = escaped(df).select(*[
         F.replace(F.col(f.name).cast("string"), F.lit("."), F.lit(",")).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)) else F.col(f.name)
         for f in df.schema
     ])
-    out.write.options(header=True, sep=";", nullValue=missing, emptyValue='""').csv(path)
+    out.write.options(header=True, sep=";", nullValue=missing, emptyValue='""', **QUOTING).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
-    writer = df.write.options(header=True, sep="\t", encoding=encoding)
+    writer = escaped(df).write.options(header=True, sep="\t", encoding=encoding, **QUOTING)
     if encoding.upper().startswith("UTF-16"):
         writer = writer.option("lineSep", "\n")
     writer.csv(path)
@@ -32,9 +44,9 @@ def write_candidates(pairs: DataFrame, path: str) -> None:
     files does not grow with the number of keys.
     """
     (
-        pairs.repartitionByRange("concordance", "new", "old")
+        escaped(pairs).repartitionByRange("concordance", "new", "old")
         .sortWithinPartitions("concordance", "new", "old")
-        .write.partitionBy("concordance").options(header=True, sep=";").csv(path)
+        .write.partitionBy("concordance").options(header=True, sep=";", **QUOTING).csv(path)
     )
 
 
