@@ -156,8 +156,9 @@ def apply_decisions(
 ) -> tuple[DataFrame, DataFrame]:
     """Replace reviewed new keys by the old key agreed on, row by row on the
     key, and take out old records found to be invalid."""
-    swap = accepted_decisions(decisions).select(F.col("new").alias(key), F.col("old").alias("_old"))
-    replaced = new.join(swap.dropDuplicates([key]), key, "left").withColumn(
+    # Of several decisions on a key the least old key holds, so reruns agree.
+    swap = accepted_decisions(decisions).groupBy(F.col("new").alias(key)).agg(F.min("old").alias("_old"))
+    replaced = new.join(swap, key, "left").withColumn(
         key, F.coalesce("_old", key)
     ).drop("_old").select(*new.columns)
     bad = invalid_duplicates(decisions).select(F.col("invalid").cast(old.schema[row_id].dataType).alias(row_id))

@@ -61,21 +61,25 @@ def network_edges(df: DataFrame, cols: Sequence[str], threshold: float = 0.3) ->
 def factor_screen(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Eigenvalues of the complete-case correlation matrix with the rules used
     to choose a number of factors: eigenvalue over one, and the largest bend
-    (second difference) of the scree line."""
+    (second difference) of the scree line. Constant columns have no correlations and
+    are left out; the last rows then have no figures."""
     k = len(cols)
     sums = cross_products(df, cols).withColumn("_all", F.lit(0))
 
     def screen(rows: pd.DataFrame) -> pd.DataFrame:
         _, _, c = centred(as_matrix(rows, k))
         sd = np.sqrt(np.diag(c))
-        values = np.linalg.eigvalsh(c / np.outer(sd, sd))[::-1]
-        bend = np.full(k, np.nan)
+        varies = np.flatnonzero(sd > 0)
+        own = len(varies)
+        values, bend = np.full(k, np.nan), np.full(k, np.nan)
+        if own:
+            values[:own] = np.linalg.eigvalsh(c[np.ix_(varies, varies)] / np.outer(sd[varies], sd[varies]))[::-1]
         bend[1:-1] = values[2:] - 2 * values[1:-1] + values[:-2]
-        elbow = int(np.nanargmax(bend)) if k > 2 else 0
+        elbow = int(np.nanargmax(bend)) if own > 2 else 0
         return pd.DataFrame({
             "k": np.arange(1, k + 1, dtype="int32"),
             "eigenvalue": values,
-            "share": values / k,
+            "share": values / max(own, 1),
             "acceleration": bend,
             "over_one": values > 1,
             "before_elbow": np.arange(k) < elbow,
@@ -85,6 +89,6 @@ def factor_screen(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         "k int, eigenvalue double, share double, acceleration double, "
         "over_one boolean, before_elbow boolean"
     )
-    return sums.groupBy("_all").applyInPandas(screen, schema).withColumn(
-        "acceleration", F.nanvl("acceleration", F.lit(None))
+    return sums.groupBy("_all").applyInPandas(screen, schema).withColumns(
+        {c: F.nanvl(c, F.lit(None)) for c in ("eigenvalue", "share", "acceleration")}
     )

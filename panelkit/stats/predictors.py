@@ -52,6 +52,10 @@ def target_moments(
     )
 
 
+# Beyond this many sweeps over the predictors the path counts as failed.
+MOST_SWEEPS = 100_000
+
+
 def solve_path(
     r: np.ndarray, corr: np.ndarray, n: float, alpha: float, length: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +67,7 @@ def solve_path(
     beta, path, explained = np.zeros(p), [], 0.0
     fit = np.zeros(p)  # corr @ beta
     for step, lam in enumerate(penalties):
-        for _ in range(1000):
+        for _ in range(MOST_SWEEPS):
             moved = 0.0
             for j in range(p):
                 pull = r[j] - fit[j] + beta[j]
@@ -75,6 +79,8 @@ def solve_path(
                     moved = max(moved, change * change)
             if moved < 1e-14:
                 break
+        else:
+            raise ArithmeticError("the coefficients did not settle")
         path.append(beta.copy())
         now = 2 * r @ beta - beta @ fit
         stalled = step >= 5 and now - explained < LEAST_GAIN * now

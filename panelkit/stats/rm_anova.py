@@ -22,7 +22,7 @@ from .moments import as_matrix, cross_products
 
 RESULT = (
     "term string, part string, df1 double, df2 double, epsilon double, ss double, "
-    "ss_error double, f double, p double, ges double"
+    "ss_error double, f double, p double, ges double, reason string"
 )
 
 
@@ -49,13 +49,21 @@ def tests_from_moments(
     observed: Sequence[str], within: str,
 ) -> pd.DataFrame:
     """All between and within tests, type-III, with the Greenhouse-Geisser
-    correction. ``m`` holds uncentred cross-products."""
+    correction. ``m`` holds uncentred cross-products. A model that cannot be fitted
+    keeps its terms, without figures and with the reason."""
     x = sorted({i for _, at in terms for i in at})
-    xx, xy, yy = m[np.ix_(x, x)], m[np.ix_(x, waves)], m[np.ix_(waves, waves)]
+    # The tests do not depend on the units of the columns, so units must not decide
+    # whether the columns count as independent.
+    norm = np.sqrt(np.diag(m)[x])
+    unit = 1 / np.where(norm > 0, norm, 1)
+    xx, xy, yy = m[np.ix_(x, x)] * np.outer(unit, unit), m[np.ix_(x, waves)] * unit[:, None], m[np.ix_(waves, waves)]
     n, w = m[0, 0], len(waves)
     left = n - len(x)
-    if left < 1 or np.linalg.matrix_rank(xx) < len(x):
-        return pd.DataFrame()
+    named = lambda name, part: name if part == "between" else (within if name == "(Intercept)" else f"{name}:{within}")
+    reason = "too few subjects" if left < 1 else "terms depend on each other" if np.linalg.matrix_rank(xx) < len(x) else None
+    if reason:
+        return pd.DataFrame([(named(name, part), part, *[np.nan] * 8, reason) for part in ("between", "within") for name, _ in terms],
+                            columns=["term", "part", "df1", "df2", "epsilon", "ss", "ss_error", "f", "p", "ges", "reason"])
     inv = np.linalg.inv(xx)
     rows = []
     for part, c in (("between", np.full((w, 1), 1 / np.sqrt(w))), ("within", contrasts(w))):
@@ -69,8 +77,7 @@ def tests_from_moments(
             ss, sse = float(np.trace(h)), float(np.trace(error))
             df1, df2 = len(pos) * q, left * q
             f = (ss / df1) / (sse / df2)
-            label = name if part == "between" else (within if name == "(Intercept)" else f"{name}:{within}")
-            rows.append((label, part, eps * df1, eps * df2, eps, ss, sse, f,
+            rows.append((named(name, part), part, eps * df1, eps * df2, eps, ss, sse, f,
                          float(f_tail(f, eps * df1, eps * df2))))
     out = pd.DataFrame(rows, columns=["term", "part", "df1", "df2", "epsilon", "ss", "ss_error", "f", "p"])
     # Generalised eta squared: variation of measured (not manipulated) terms
@@ -79,6 +86,7 @@ def tests_from_moments(
     errors = out.groupby("part")["ss_error"].first().sum()
     measured = (out["ss"] * seen).sum()
     out["ges"] = out["ss"] / (out["ss"] + errors + measured - out["ss"] * seen)
+    out["reason"] = None
     return out
 
 
@@ -91,7 +99,8 @@ def rm_ancova(
     ``between`` maps each term to its levels, or to None for a covariate.
     Covariates enter as they are, so scale them first. Subjects missing a wave
     or a term are left out. With ``by``, every subgroup gets its own model from
-    the same pass; a subgroup too small for the design yields no rows.
+    the same pass; where the design cannot be fitted (too few subjects, a factor
+    with one level), figures are missing and ``reason`` says why.
     """
     observed = list(between) if observed is None else list(observed)
     codes: list[Column] = []
@@ -124,14 +133,12 @@ def rm_ancova(
 
     def finish(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         out = tests_from_moments(as_matrix(part, width), terms, at_waves, observed, within)
-        if out.empty:
-            return pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema})
         for name, v in zip(keys, key):
             out[name] = v
         return out[[f.name for f in schema]]
 
     if keys:
-        return sums.groupBy(*keys).applyInPandas(finish, schema)
-    return sums.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
-        lambda part: finish((), part), schema
-    )
+        out = sums.groupBy(*keys).applyInPandas(finish, schema)
+    else:
+        out = sums.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda part: finish((), part), schema)
+    return out.withColumns({f.name: F.nanvl(f.name, F.lit(None)) for f in T.StructType.fromDDL(RESULT) if f.dataType == T.DoubleType()})
