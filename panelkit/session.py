@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,26 @@ RUNTIME_SETTINGS = {
 BROADCAST_ROWS = 100_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers of a session, once, so that it need not be installed
+    on each of them."""
+    context = spark.sparkContext
+    if getattr(context, "_panelkit_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # Of the driver only: Spark's file server hands it to the executors.
+    path = Path(tempfile.mkdtemp(prefix="panelkit-")) / "panelkit.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as file:
+        for source in sorted(root.rglob("*.py")):
+            file.write(source, f"panelkit/{source.relative_to(root)}")
+    context.addPyFile(str(path))
+    context._panelkit_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings the operators rely on to a running session."""
+    """Apply the settings the operators rely on to a running session, for as long as it
+    lasts (time zone UTC, adaptive execution), and send it the package."""
+    ship(spark)
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -82,10 +102,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work on a table read from few pieces;
-    a table with enough partitions is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Use all cores for heavy per-row work on a table that may be read from few pieces."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
