@@ -2,10 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from panelkit.operators import linkage, matching
+from panelkit.operators import linkage, matching, plotdata, reshape
 from panelkit.operators.quantiles import quantiles
+from panelkit.sources import readers, writers
+from panelkit.stats import corr, dist, rm_anova
 
 
 def test_quantiles_by_counting(spark):
@@ -96,9 +99,10 @@ def test_matching_with_hot_copies(spark):
     try:
         calipers = [25, 55, 100]
         frame = spark.createDataFrame(pdf)
-        vectors = matching.sweep(frame, "k", "tr", "s", covs, calipers)
+        scaled = matching.scaled_rows(frame, "k", "tr", "s", covs)
+        vectors = matching.sweep(frame, "k", "tr", "s", covs, calipers, scaled)
         got = matching.first_ties(vectors).toPandas()
-        ties = matching.numbered_ties(vectors, frame, "k", "tr", "s", covs).toPandas()
+        ties = matching.numbered_ties(vectors, scaled).toPandas()
     finally:
         matching.LEAF_POINTS = old_leaf
     for c in calipers:
@@ -117,3 +121,89 @@ def test_matches_grow_with_the_caliper(spark):
     table = matching.retention(frame, "tr", "s", vectors).orderBy("caliper").toPandas()
     assert len(table) == 16 and (table.n_matched.diff().dropna() >= 0).all()
     assert vectors.where(F.col("needed") > F.col("caliper") / 100.0).count() == 0
+
+
+def test_ties_of_values_one_rounding_step_apart(spark):
+    rows = [(i, "a", i % 5 == 0, 0.1 + 0.2 if i % 2 else 0.3, float(i % 3)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "k int, s string, tr boolean, x double, y double")
+    scaled = matching.scaled_rows(frame, "k", "tr", "s", ["x", "y"])
+    vectors = matching.sweep(frame, "k", "tr", "s", ["x", "y"], [100], scaled)
+    wanted = matching.first_ties(vectors).agg(F.sum("n_ties")).first()[0]
+    assert matching.numbered_ties(vectors, scaled).count() == wanted
+
+
+def test_quantiles_with_infinite_and_huge_values(spark):
+    inf = float("inf")
+    rows = [("a", v) for v in (1.0, 2.0, 3.0, 4.0, inf)] + [("b", -1.7e308), ("b", 1.7e308), ("b", 0.0)] + [
+        ("c", -inf), ("c", inf), ("c", 5.0)] + [("d", 5e-324), ("d", 0.0), ("d", 1e-323)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for limit in (0, 4, 1000):
+        got = {r.g: list(r.q) for r in quantiles(df, "x", [0.0, 0.5, 1.0], ["g"], direct_rows=limit).collect()}
+        assert got == {"a": [1.0, 3.0, inf], "b": [-1.7e308, 0.0, 1.7e308], "c": [-inf, 5.0, inf], "d": [0.0, 5e-324, 1e-323]}
+
+
+def test_one_hot_of_many_levels(spark):
+    df = spark.range(1500).selectExpr("cast(id as string) AS v")
+    assert len(reshape.levels(df, "v")) == 1500
+
+
+def test_density_curve_against_direct_sum(spark):
+    rng = np.random.default_rng(3)
+    groups = {"ties": [0.0] * 30 + [1.0] * 5, "one": [7.0] * 4, "zero": [0.0], "outlier": [*rng.normal(size=500), 1e6], "normal": list(rng.normal(size=300))}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("normal", None)], "g string, x double")
+    got = plotdata.density_curve(df, "x", ["g"]).toPandas()
+    for g, x in groups.items():
+        x = np.array(x)
+        sd = x.std(ddof=1) if len(x) > 1 else 0.0
+        iqr = np.subtract(*np.percentile(x, [75, 25]))
+        spread = next(s for s in (min(sd, iqr / 1.34), sd, abs(x.min()), 1.0) if s > 0)
+        bw = 0.9 * spread * len(x) ** -0.2
+        part = got[got.g == g].sort_values("point")
+        want = np.exp(-(((part.x.to_numpy()[:, None] - x) / bw) ** 2) / 2).sum(1) / (len(x) * bw * np.sqrt(2 * np.pi))
+        assert len(part) == 64 and np.abs(part.density - want).max() <= 1e-3 * want.max()
+
+
+def test_decimal_comma_keeps_digits_and_text(spark, tmp_path):
+    schema = "k int, v double, t string"
+    rows = [(1, 0.123456789012, "line1\nline2"), (2, 1e-9, 'a "quoted"; \\n back\\slash'), (3, 1e33, "\r\ttab"), (4, float("inf"), None), (5, None, "x")]
+    df = spark.createDataFrame(rows, schema)
+    writers.write_decimal_comma_csv(df, str(tmp_path / "a"))
+    writers.write_tsv(df, str(tmp_path / "b"))
+    assert sorted(map(tuple, readers.read_decimal_comma_csv(spark, str(tmp_path / "a"), df.schema, escaped=True).collect())) == rows
+    assert sorted(map(tuple, readers.read_tsv(spark, str(tmp_path / "b"), df.schema, escaped=True).collect())) == rows
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.csv").write_text("k;v\n1;1.234,5\n2;oops\n")
+    plain = readers.read_decimal_comma_csv(spark, str(tmp_path / "c"), df.select("k", "v").schema)
+    assert plain.where("k = 1").first().v == 1234.5
+    with pytest.raises(Exception, match="not a number in v: oops"):
+        plain.select("v").collect()
+
+
+def test_model_that_cannot_be_fitted_says_why(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, float(a), float(b), x) for g in "ab" for a, b in rng.normal(size=(40, 2)) for x in ("f" if g == "a" else ["f", "m"][int(a > 0)],)]
+    df = spark.createDataFrame(rows, "g string, y0 double, y1 double, sex string")
+    got = rm_anova.rm_ancova(df, ["y0", "y1"], {"sex": ["f", "m"]}, by=["g"]).toPandas()
+    bad, good = got[got.g == "a"], got[got.g == "b"]
+    assert len(bad) == len(good) == 4 and bad.f.isna().all() and (bad.reason == "terms depend on each other").all()
+    assert good.f.notna().all() and good.reason.isna().all()
+
+
+def test_units_do_not_decide_on_a_model(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(5000, 3, size=(300, 3))
+    rows = [tuple(map(float, r)) for r in np.column_stack([rng.normal(size=(300, 2)), x])]
+    df = spark.createDataFrame(rows, "y0 double, y1 double, a double, b double, c double")
+    assert rm_anova.rm_ancova(df, ["y0", "y1"], {"a": None}).where("reason IS NOT NULL").count() == 0
+
+
+def test_tails_at_very_large_df():
+    for df in (1e6, 1e9, 1e11, 1e13, 1e16):
+        assert abs(dist.t_tail([1.959963984540054], [df])[0] - 0.05) < 1e-6
+        assert abs(dist.f_tail([2.995732273553991], [2.0], [df])[0] - 0.05) < 1e-6
+
+
+def test_constant_column_in_factor_screen(spark):
+    df = spark.createDataFrame([(float(i), float(i % 3), 1.0) for i in range(30)], "a double, b double, c double")
+    got = corr.factor_screen(df, ["a", "b", "c"]).orderBy("k").collect()
+    assert abs(got[0].eigenvalue + got[1].eigenvalue - 2) < 1e-9 and got[2].eigenvalue is None
