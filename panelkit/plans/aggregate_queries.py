@@ -10,6 +10,7 @@ from ..operators.quantiles import quantiles
 from ..stats import ttests
 from .panel import SCORES
 from .registry import query, r, rounded
+from .sql_stats import NORMAL, p_t
 
 
 def _avgs(*cols: str) -> str:
@@ -22,16 +23,18 @@ def _avgs(*cols: str) -> str:
     strain AS (SELECT c_custkey, c_mktsegment, wave, ((n_orders - m1) / s1 + (avg_price - m2) / s2 + (max_price - m3) / s3) / 3 AS strain FROM panel, b),
     change AS (SELECT c_mktsegment, max(strain) FILTER (wave = 2) - max(strain) FILTER (wave = 0) AS d
                FROM strain WHERE wave IN (0, 2) GROUP BY c_custkey, c_mktsegment HAVING count(*) = 2)
-    SELECT c_mktsegment, count(*) AS n, round(avg(d), 6) AS m, round(stddev_samp(d), 6) AS sd,
-           round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, CAST(count(*) - 1 AS DOUBLE) AS df
-    FROM change GROUP BY c_mktsegment""")
+    {half}""".format(half=f"""
+    SELECT c_mktsegment, n, round(m, 6) AS m, round(sd, 6) AS sd, round(m / (sd / sqrt(n)), 6) AS t, CAST(n - 1 AS DOUBLE) AS df, round(m / sd, 6) AS d,
+           round(m / sd - {NORMAL} * sqrt(1.0 / n + pow(m / sd, 2) / (2 * n)), 6) AS d_lo,
+           round(m / sd + {NORMAL} * sqrt(1.0 / n + pow(m / sd, 2) / (2 * n)), 6) AS d_hi, round({p_t('(m / (sd / sqrt(n)))', '(n - 1)')}, 6) AS p
+    FROM (SELECT c_mktsegment, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd FROM change GROUP BY c_mktsegment)"""))
 def _(t):
     z = groups.zscore_against(t.panel, t.panel.where("wave = 0"), SCORES)
     strain = z.select("c_custkey", "wave", composite([f"{s}_z" for s in SCORES]).alias("strain"))
     wide = joins.wave_frame(strain, "c_custkey", "wave", [0, 2], ["strain"])
     tagged = wide.join(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey")
     out = ttests.paired(tagged, [("strain_t2", "strain_t0")], ["c_mktsegment"])
-    return rounded(out.select("c_mktsegment", "n", "m", "sd", "t", "df"))
+    return rounded(out.drop("variable"))
 
 
 @query("a1_time_summary", """
