@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
 
-def stored(df: DataFrame, label: str = "part") -> DataFrame:
-    """The rows of ``df`` from a table in the shared folder. Unlike a checkpoint it
-    brings no inferred constraints along, which loops would pile up."""
+def stored(df: DataFrame, label: str = "part", by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``df`` from a table in the shared folder, in folders ``by`` columns.
+    Unlike a checkpoint it brings no inferred constraints along, which loops would pile up."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now, not at some later
+    collection of garbage: it removes what neither Python nor the driver refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """A stored table of short rows, marked for broadcast if it was counted to be small."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -33,8 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .stored import stored
+from .stored import release, stored
 from .words import mix, powers, prefix_sums
 
 LENGTH, GRAM = 100, 32
@@ -104,11 +103,11 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _first_round(rows: DataFrame) -> DataFrame:
-    """doc, first, last, rank (of the anchor) and whether the run is open or a repeat."""
+    """doc, first, last, rank (of the anchor; 0 for repeats) and whether the run is open or a repeat."""
 
     def out(doc, place, a, is_open):
         first = place >> 14
-        return pa.record_batch([pa.array(doc), pa.array(first), pa.array(first + (place & 127)), pa.array(a),
+        return pa.record_batch([pa.array(doc), pa.array(first), pa.array(first + (place & 127)), pa.array(a if is_open else np.zeros(len(a), np.int64)),
                                 pa.array(np.full(len(doc), is_open))], names=["doc", "first", "last", "rank", "open"])
 
     def run(batches):
@@ -222,9 +221,12 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     from rows doc (distinct), text."""
     if not 8 <= gram <= length - 1 or length - gram + 1 > 127:
         raise ValueError("the gram must leave at most 127 places in the length")
-    runs = cut(_first_round(_rows(texts, length, gram)))
-    windows = _windows(texts, runs.where("open"), length)
-    return runs.where("not open").select("doc", "first", "last").unionByName(_second_round(windows, length))
+    spark = texts.sparkSession
+    runs = stored(_first_round(_rows(texts, length, gram)), "runs", by=("open",))
+    release(spark)
+    found = stored(_second_round(_windows(texts, runs.where("open"), length), length), "windows")
+    release(spark)
+    return runs.where("not open").select("doc", "first", "last").unionByName(found)
 
 
 def _ordered(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -244,7 +246,7 @@ def cleaned(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     also kept, the bytes that stay."""
     texts = _ordered(docs, id, text)
     found = repeats(texts.select("doc", "text"), length, gram)
-    by_doc = cut(found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
+    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     kind = dict(docs.dtypes)[id]
 
     def run(batches):
