@@ -7,13 +7,15 @@ and two texts at similarity s share one of them. The order of rarity comes from
 of fixed size over all texts; any order is right, rare first keeps shared passages from
 making large cells. Then, in every cell at once:
 
-* The smallest member is the pivot; the distance of each member to it is computed.
+* Members are kept apart by size where sizes alone rule out a link, each lying in two
+  neighbouring steps of a scale of sizes.
+* The member that lacks fewest of its cells (then the smallest) is the pivot; the distance of each member to it is computed.
 * Members within the threshold r of the pivot are linked to it, which settles links among
   them as far as components go. Members farther away form the region that is left.
 * A linked member y can still reach that region only if d(y, pivot) >= least distance in
   the region - r (triangle inequality): such boundary members are replicated into it.
-* The region gets the next pivot, and so on. Regions of few members, whose bound doubles
-  with each round, are joined pairwise, but for pairs whose sizes or distances to the last
+* The region gets the next pivot, and so on. Regions of few members, whose bound grows
+  fourfold with each round, are joined pairwise, but for pairs whose sizes or distances to the last
   pivot differ too much; so rounds are logarithmic in a cell's size.
 
 Equal sets are one member from the start, so copies cost nothing. A pair met in many cells
@@ -33,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from .components import components
-from .stored import stored
+from .stored import release, stored
 from .words import block_words, mix, text_blocks
 
 SLOTS = 1 << 20  # of the sketch of shingle counts
 LEAF = 16
+CLASSES = 128
 IDS_SENT = 400_000  # ids broadcast to find their texts; more are joined by a shuffle
 
 
@@ -104,97 +106,188 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
-    """id, n (shingles), h1, h2 (of the set) and the cells of the text."""
+    """id, n (shingles), h1, h2 (of the set), cells of the text, and v: its numbers of
+    shingles in CLASSES classes of hashes, up to 255 each."""
     kind = dict(docs.dtypes)[id]
     sent = docs.sparkSession.sparkContext.broadcast(rarity(docs, text, k))
 
     def run(batches):
         level = sent.value
         for batch in batches:
-            n, h1, h2, cells = [], [], [], []
+            n, h1, h2, cells, v = [], [], [], [], []
             for own in shingle_sets(batch.column(1), k):
                 size = len(own)
                 n.append(size)
                 h1.append(int(_signed(np.add.reduce(mix(own ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True))[0]) if size else 0)
                 h2.append(int(_signed(np.add.reduce(mix(own * np.uint64(0x2545F4914F6CDD1D)), keepdims=True))[0]) if size else 0)
+                v.append(np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES), 255).astype(np.uint8).tobytes())
                 rare = level[(own & np.uint64(SLOTS - 1)).astype(np.int64)]
                 if rare.any():
                     own = own[np.argsort(rare, kind="stable")]
                 cells.append(_signed(own[:size - (percent * size + 99) // 100 + 1] if size else own))
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                                   pa.array(cells, pa.list_(pa.int64()))], names=["id", "n", "h1", "h2", "cells"])
+                                   pa.array(cells, pa.list_(pa.int64())), pa.array(v, pa.binary())], names=["id", "n", "h1", "h2", "cells", "v"])
 
     return docs.select(docs[id].alias("id"), docs[text].alias("text")).mapInArrow(
-        run, f"id {kind}, n long, h1 long, h2 long, cells array<long>")
+        run, f"id {kind}, n long, h1 long, h2 long, cells array<long>, v binary")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id: str, text: str, k: int) -> DataFrame:
-    """id, own (shingle hashes) of the wanted ids."""
-    kind = dict(docs.dtypes)[id]
-    few = ids.limit(IDS_SENT + 1).count() <= IDS_SENT
-    wanted = docs.select(docs[id].alias("id"), docs[text].alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+def shared_cells(cells: DataFrame) -> DataFrame:
+    """The rows cell, id, n of cells with two or more rows: one shuffle and one sort, rows
+    then stream by, so a cell of any size needs no memory."""
 
     def run(batches):
+        last, told = None, False
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([_signed(s) for s in shingle_sets(batch.column(1), k)], pa.list_(pa.int64()))],
-                                  names=["id", "own"])
+            if not batch.num_rows:
+                continue
+            cell = batch["cell"].to_numpy(zero_copy_only=False)
+            same = cell[1:] == cell[:-1]
+            joins = last is not None and last["cell"][0].as_py() == int(cell[0])
+            keep = np.concatenate(([joins], same)) | np.concatenate((same, [False]))
+            if joins and not told:
+                yield last
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+            last, told = batch.slice(batch.num_rows - 1), bool(keep[-1])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in cells.dtypes)
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, kinds)
+
+
+class Measure:
+    """Distances of pairs of members, computed only where cheap bounds leave a link open."""
+
+    def __init__(self, docs: DataFrame, members: DataFrame, id: str, text: str, k: int, percent: int):
+        self.docs = docs.select(docs[id].alias("id"), docs[text].alias("text"))
+        self.members, self.k, self.percent = members.select("id", "n", "v"), k, percent
+
+    def _bounded(self, pairs: DataFrame) -> DataFrame:
+        """Add low, a lower bound of the distance from sizes and class counts, and open."""
+        kind, percent = dict(pairs.dtypes)["a"], self.percent
 
-    return wanted.mapInArrow(run, f"id {kind}, own array<long>")
+        def run(batches):
+            for batch in batches:
+                rows = batch.num_rows
+                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(rows, CLASSES).astype(np.int64) for c in ("x", "y"))
+                n = batch["s"].to_numpy(zero_copy_only=False)
+                apart = np.abs(x - y).sum(1)  # at most the size of the symmetric difference
+                yield pa.record_batch([batch["a"], batch["b"], pa.array(2 * apart / (n + apart)),
+                                       pa.array(100 * (n - apart) >= percent * (n + apart))], names=["a", "b", "low", "open"])
 
+        own = self.members
+        both = pairs.join(own.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("v").alias("x")), "a").join(
+            own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("y")), "b")
+        return both.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("s")).mapInArrow(
+            run, f"a {kind}, b {kind}, low double, open boolean")
 
-def _distances(docs: DataFrame, pairs: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
-    """a, b, d, link of the pairs; copies of an id make a link if any of them does."""
-    pairs = stored(pairs, "pairs")
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = cut(_sets(docs, ids, id, text, k))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    counted = both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y")).alias("s")).withColumn("u", F.col("s") - F.col("i"))
-    rows = counted.select("a", "b", (1 - F.col("i") / F.col("u")).alias("d"), (100 * F.col("i") >= percent * F.col("u")).alias("link"))
-    return stored(rows.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("link").alias("link")), "distances")
+    def narrow(self, ids: DataFrame) -> None:
+        """From now on only texts of these ids are asked for: keep a copy of them, so that
+        later rounds do not read all texts again."""
+        ids = stored(ids.distinct(), "ids")
+        few = ids.limit(IDS_SENT + 1).count() <= IDS_SENT
+        self.docs = stored(self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "texts")
+
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """The wanted rows (id, rest) with own, the shingle hashes of the id's text."""
+        few = wanted.limit(IDS_SENT + 1).count() <= IDS_SENT
+        texts = self.docs.join(F.broadcast(wanted) if few else wanted, "id")
+        kinds, k = ", ".join(f"{c} {t}" for c, t in wanted.dtypes), self.k
+
+        def run(batches):
+            for batch in batches:
+                sets = pa.array([_signed(s) for s in shingle_sets(batch["text"], k)], pa.list_(pa.int64()))
+                yield pa.record_batch([*[batch[c] for c in wanted_names], sets], names=[*wanted_names, "own"])
+
+        wanted_names = wanted.columns
+        return texts.mapInArrow(run, f"{kinds}, own array<long>")
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """a, b, low, d (null where a bound was enough) and link of the distinct pairs."""
+        bounded = stored(self._bounded(pairs.distinct()), "pairs")
+        asked = bounded.where("open")
+        left = self._sets(stored(asked.groupBy("a").agg(F.collect_set("b").alias("bs")).withColumnRenamed("a", "id"), "ids"))
+        right = self._sets(stored(asked.select(F.col("b").alias("id")).distinct(), "ids"))
+        both = left.select(F.col("id").alias("a"), F.explode("bs").alias("b"), F.col("own").alias("x")).join(
+            right.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        counted = both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y")).alias("s")).withColumn("u", F.col("s") - F.col("i"))
+        # Rows of one id are one document: a link if any of them has one.
+        exact = counted.groupBy("a", "b").agg(
+            F.min(1 - F.col("i") / F.col("u")).alias("d"), F.max(100 * F.col("i") >= self.percent * F.col("u")).alias("link"))
+        return stored(bounded.join(stored(exact, "exact"), ["a", "b"], "left").select(
+            "a", "b", F.coalesce("d", "low").alias("low"), "d", F.coalesce("link", F.lit(False)).alias("link")), "distances")
 
 
 def links(docs: DataFrame, members: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the same members as all links do; from rows id, n, cells."""
+    """Links (a, b) that connect the same members as all links do; from rows id, n, cells, v."""
     r = 1 - percent / 100 + 1e-9
-    cells = members.select(F.explode("cells").alias("cell"), "id", "n")
-    multi = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1").select("cell", "pivot")
-    left = cut(cells.join(multi, "cell"))
+    measure = Measure(docs, members, id, text, k, percent)
+    shared = stored(shared_cells(members.select(F.explode("cells").alias("cell"), "id", F.col("n").cast("int").alias("n"))), "cells")
+    release(docs.sparkSession)
+    # The text that others were made from shares all its cells, a changed one lacks some; as
+    # a pivot it has the others around it.
+    has = shared.groupBy("id").agg(F.count(F.lit(1)).alias("has"))
+    due = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
+    ranked = stored(shared.join(has, "id").select("cell", "id", "n", (due - F.col("has")).cast("int").alias("lack")), "ranked")
+    # Sizes of linked members differ by one step of a scale at most, so each member lies in
+    # its own step of its cell and in the next.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100)) + 1e-9).cast("int")
+    regions = ranked.select("cell", "id", "n", "lack", F.explode(F.array(step, step + 1)).alias("size"))
+    first = regions.groupBy("cell", "size").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("lack", "id", "n")).alias("p")).where("m > 1")
+    left = stored(regions.join(first.select("cell", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), ["cell", "size"]), "regions")
     found, leaf = None, LEAF
+    even = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     while True:
-        measured = _distances(docs, left.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(),
-                              id, text, k, percent)
+        others = left.where("id <> pivot")
+        measured = measure(others.where(even).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         own = measured.where("link").select("a", "b")
         found = own if found is None else found.unionByName(own)
-        known = left.where("id <> pivot").join(measured.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d", "link"), ["id", "pivot"])
-        region = known.groupBy("cell").agg(
-            F.min(F.when(~F.col("link"), F.col("d"))).alias("least"), F.min(F.when(~F.col("link"), F.col("id"))).alias("next"))
-        kept = cut(known.join(region.where("least is not null"), "cell").where(~F.col("link") | (F.col("d") >= F.col("least") - r))
-                   .select("cell", "id", "n", "d", "link", F.col("next").alias("pivot")))
-        sizes = stored(kept.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
-        small = kept.join(sizes.where(F.col("m") <= leaf), "cell")
-        x, y = small.alias("x"), small.alias("y")
-        near = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id"))
-        may = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.abs(F.col("x.d") - F.col("y.d")) <= r)
+        known = others.join(measured.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "low", "d", "link"), ["id", "pivot"], "left").withColumns({
+            "link": F.coalesce("link", F.lit(False)), "low": F.coalesce("low", 1 - F.least("n", "pn") / F.greatest("n", "pn"))})
+        region = known.groupBy("cell", "size").agg(
+            F.min(F.when(~F.col("link"), F.col("low"))).alias("least"),
+            F.min(F.when(~F.col("link"), F.struct("lack", "id", "n"))).alias("next"), F.count(F.lit(1)).alias("m")).where("least is not null and m > 1")
+        kept = stored(known.join(region, ["cell", "size"]).where(~F.col("link") | (F.col("d") >= F.col("least") - r))
+                      .select("cell", "size", "id", "n", "lack", "d", "link", F.col("next.id").alias("pivot"), F.col("next.n").alias("pn")), "kept")
+        sizes = stored(kept.groupBy("cell", "size").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+        if leaf == LEAF:
+            measure.narrow(kept.join(sizes, ["cell", "size"]).select("id"))
+        few = kept.join(sizes.where(F.col("m") <= leaf), ["cell", "size"])
+        x, y = few.alias("x"), few.alias("y")
+        near = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id"))
+        may = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= r, F.lit(True))
         # Two members linked to the same pivot need no link of their own.
-        close = x.join(y, near & may & ~(F.col("x.link") & F.col("y.link"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        found = found.unionByName(_distances(docs, close, id, text, k, percent).where("link").select("a", "b"))
-        left = cut(kept.join(sizes.where(F.col("m") > leaf), "cell").select("cell", "id", "n", "pivot"))
-        leaf *= 2
+        close = x.join(y, near & may & ~(F.col("x.link") & F.col("y.link"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        found = found.unionByName(measure(close).where("link").select("a", "b"))
+        left = stored(kept.join(sizes.where(F.col("m") > leaf), ["cell", "size"]).select("cell", "size", "id", "n", "lack", "pivot", "pn"), "regions")
+        leaf *= 4
+        release(docs.sparkSession)
         if left.limit(1).count() == 0:
             return found.distinct()
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row per row: id, n_shingles, component_id (smallest id reachable by links)."""
-    every = cut(prefixes(docs, id, text, k, percent))
+    every = stored(prefixes(docs, id, text, k, percent), "sets")
     linkable = every.where("n > 0 and id is not null")
-    classes = cut(linkable.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("cells").alias("cells"), F.count(F.lit(1)).alias("m")))
-    near = components(links(docs, classes.select("id", "n", "cells"), id, text, k, percent))
-    named = classes.select("n", "h1", "h2", "id").join(near.withColumnRenamed("node", "id"), "id", "left").select(
-        "n", "h1", "h2", F.coalesce("component", "id").alias("component"))
-    rows = every.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component")).unionByName(
-        linkable.join(named, ["n", "h1", "h2"]).select("id", "n", "component"))
-    # Rows with the same id are one document.
+    # Equal sets are one member; the others leave before cells are dealt out.
+    classes = stored(linkable.groupBy("n", "h1", "h2").agg(F.min("id").alias("id")), "classes")
+    copies = stored(linkable.select("id", "n", "h1", "h2").join(classes.withColumnRenamed("id", "first"), ["n", "h1", "h2"]).where(
+        "id <> first"), "copies")
+    gone = copies.select("id", "n", "h1", "h2").distinct()
+    few = gone.limit(IDS_SENT + 1).count() <= IDS_SENT
+    members = linkable.join(F.broadcast(gone) if few else gone, ["id", "n", "h1", "h2"], "left_anti")
+    near = components(links(docs, members, id, text, k, percent).unionByName(copies.select(F.col("id").alias("a"), F.col("first").alias("b"))))
+    rows = every.select("id", "n").join(near.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", "n", F.coalesce("component", "id").alias("component"))
     return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """The rows, with all their columns, less those that are linked to a smaller id; of rows
+    with the same id all stay or go."""
+    joined = join(docs, id, text, k, percent)
+    gone = stored(joined.where(F.col(id) > F.col("component_id")).select(F.col(id).alias("_gone")).distinct(), "gone")
+    few = gone.limit(IDS_SENT + 1).count() <= IDS_SENT
+    return docs.join(F.broadcast(gone) if few else gone, docs[id] == gone["_gone"], "left_anti")
