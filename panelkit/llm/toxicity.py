@@ -3,10 +3,11 @@
 1. Up to ``examples`` labelled rows of each label are drawn by hash of their id (a
    documented bound of the fitted model; everything else covers all rows).
 2. Character runs of 4 and 5 inside words are counted over the drawn rows in Spark;
-   runs that go with label 1 (``least_z`` or more standard errors) become the terms, at
-   most ``terms`` of them.
+   runs that go with label 1 (``least_z`` or more standard errors, and ``least_lift``
+   times its share under label 0) become the terms, at most ``terms`` of them.
 3. Each example is a TF-IDF vector over the terms. The inverted index keeps, for each
-   term, its examples in blocks of fixed ranges with the largest weight of each block.
+   term, its examples in blocks of fixed ranges with the largest weight of each block;
+   examples with the same heaviest term stand together, so few blocks have high sums.
    A query adds up the block maxima, visits blocks by falling sums, and stops where a
    sum falls below its k-th similarity: the neighbours are exact.
 4. Votes are weighted by 1 / (distance + 0.05). A logistic curve, fitted to the votes
@@ -36,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTERS = re.compile(r"[^\W\d_]+").findall
-EXAMPLES, TERMS, LEAST_Z, NEIGHBOURS, BLOCK = 2_500, 3_000, 5.0, 15, 128
+EXAMPLES, TERMS, LEAST_Z, LEAST_LIFT, NEIGHBOURS, BLOCK = 2_500, 3_000, 5.0, 4.0, 15, 64
+CACHED = 50_000  # vectors whose result a worker keeps; when full, all are forgotten
 
 
 def held_out(id: Column) -> Column:
@@ -71,9 +73,11 @@ class Index:
         empty = [sum(1 for c, y in zip(counts, labels, strict=True) if not c and y == v) for v in (0, 1)]
         mass = [(e + (0.5 if rows_by_label[v] else 0)) * self.weigh[v] for v, e in enumerate(empty)]
         self.without = mass[1] / sum(mass) if sum(mass) else 0.0
-        full = [i for i, c in enumerate(counts) if c]
-        self.ids, self.labels = [ids[i] for i in full], np.array([labels[i] for i in full], int)
-        vectors = [self.vector(counts[i]) for i in full]
+        full = [(*self.vector(c), i) for i, c in enumerate(counts) if c]
+        full.sort(key=lambda v: (int(v[0][v[1].argmax()]), -float(v[1].max()), v[2]))
+        self.ids, self.labels = [ids[i] for *_, i in full], np.array([labels[i] for *_, i in full], int)
+        vectors = [v[:2] for v in full]
+        self.known: dict[bytes, tuple] = {}
         self.blocks = -(-len(full) // BLOCK)
         lists: list[list[tuple[int, float]]] = [[] for _ in terms]
         for e, (own, weights) in enumerate(vectors):
@@ -130,10 +134,15 @@ class Index:
         if not counts or not self.blocks:
             return self.without, [], []
         own = self.vector(counts)
-        near = self.nearest(*own)
-        a, b = self.curve
-        value = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * float(logit(np.array([self.vote(*own, near=near)]))[0]) + b))))
-        return value, [self.ids[e] for _, e in near], [s for s, _ in near]
+        key = own[0].tobytes() + own[1].tobytes()
+        if key not in self.known:
+            near = self.nearest(*own)
+            a, b = self.curve
+            value = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * float(logit(np.array([self.vote(*own, near=near)]))[0]) + b))))
+            if len(self.known) >= CACHED:
+                self.known.clear()
+            self.known[key] = value, [self.ids[e] for _, e in near], [s for s, _ in near]
+        return self.known[key]
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -157,7 +166,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic",
-        examples: int = EXAMPLES, terms: int = TERMS, least_z: float = LEAST_Z) -> Index:
+        examples: int = EXAMPLES, terms: int = TERMS, least_z: float = LEAST_Z, least_lift: float = LEAST_LIFT) -> Index:
     """Learn from labelled rows that are not held out."""
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id))).groupBy(
         F.col(id).alias("id")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("y"))
@@ -186,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     z = (p / n1 - n / n0) / F.sqrt(joint * (1 - joint) * (1 / n1 + 1 / n0))
     runs = texts.select("y", "text").mapInArrow(counted, "run string, y int, n long").groupBy("run").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n"))
-    picked = runs.where("p >= 3 and p + n < %d" % (n1 + n0)).withColumn("z", z).where(F.col("z") >= least_z).orderBy(
+    picked = runs.where("p >= 3 and p + n < %d" % (n1 + n0)).withColumn("z", z).where(
+        (F.col("z") >= least_z) & (p / n1 >= least_lift * (n + 0.5) / n0)).orderBy(
         F.desc("z"), "run").limit(terms).select("run").collect()
     vocabulary = sorted(r.run for r in picked)
     place = {t: i for i, t in enumerate(vocabulary)}
@@ -236,3 +246,17 @@ def score_frame(docs: DataFrame, index: Index, id: str = "doc_id", text: str = "
 
     return docs.select(docs[id].alias("id"), docs[text].alias("text")).mapInArrow(
         run, f"id {kind}, score double, evidence array<{kind}>, likeness array<double>").withColumnRenamed("id", id)
+
+
+def clean_rows(docs: DataFrame, index: Index, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text scores below ``limit``."""
+    columns = docs.columns
+    place = columns.index(text)
+    form = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([sent.value.score(t.as_py() or "")[0] < limit for t in batch.column(place)], pa.bool_()))
+
+    return form.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in form.dtypes)).toDF(*columns)
