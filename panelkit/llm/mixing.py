@@ -143,3 +143,22 @@ def taken_before(x: Column, block_tokens: int) -> Column:
 def _few(df: DataFrame, rows: int = 20_000) -> bool:
     """Whether a table of short rows is small enough to send to every task."""
     return df.limit(rows + 1).count() <= rows
+
+
+def mixed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
+               seed: str = "mix", rows_sent: int = 400_000, **options) -> DataFrame:
+    """The rows of the mix, with all their columns: a row stays as often as its tokens are
+    taken. Whole passes are whole copies; a part of a pass is one more copy with that
+    chance, by a keyed hash of the id, so sizes of sources are met on average."""
+    columns = docs.columns
+    taken = mix_sizes(sized(docs, id, text, source), seed=seed, **options).where("size > 0").groupBy("id", "source", "size").agg(
+        (F.sum("taken") / F.count(F.lit(1)) / F.col("size")).alias("times"))
+    lot = _hash01(F.lit(f"{seed}-copy"), F.coalesce(F.col("id").cast("string"), F.lit(""))) / 2.0**48
+    copies = taken.select("id", "source", "size", (F.floor("times") + (F.col("times") - F.floor("times") > lot).cast("long")).alias("copies")).where("copies > 0")
+    copies = cut(copies)
+    few = F.broadcast(copies) if _few(copies, rows_sent) else copies
+    rows = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    own = {c: F.col(f"c{columns.index(c)}") for c in (id, text, source)}
+    joined = rows.withColumn("_size", count_words(own[text])).join(
+        few, own[id].eqNullSafe(F.col("id")) & own[source].eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size")))
+    return joined.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col").toDF(*columns)
