@@ -77,10 +77,16 @@ def rarity(docs: DataFrame, text: str, k: int) -> np.ndarray:
     width = SLOTS // pieces
 
     def run(batches):
-        counts = np.zeros(SLOTS, np.int64)
+        counts, held, size = np.zeros(SLOTS, np.int64), [], 0
         for batch in batches:
             for own in shingle_sets(batch.column(0), k):
-                np.add.at(counts, (own & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+                held.append((own & np.uint64(SLOTS - 1)).astype(np.int32))
+                size += len(own)
+                if size > 4 * SLOTS:
+                    counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=SLOTS)
         for p in range(pieces):
             yield pa.record_batch({"p": pa.array([p], pa.int32()), "c": pa.array([counts[p * width:(p + 1) * width].tobytes()], pa.binary())})
 
