@@ -290,7 +290,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 4, pe
     return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows, with all their columns, less those that are linked to a smaller id; of rows
     with the same id all stay or go."""
     joined = join(docs, id, text, k, percent)

@@ -121,7 +121,7 @@ FROM documents LEFT JOIN n USING (doc_id)
 
 @query("op5_jaccard_join", "documents", JACCARD_SQL)
 def op5(docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.join(docs)
+    return jaccard.join(docs, k=4, percent=85)
 
 
 @query("op2_repeated_bytes", "documents")

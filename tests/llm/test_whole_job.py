@@ -1,0 +1,38 @@
+"""Queries and stages do the whole job: cases that a smaller job would miss."""
+
+import random
+
+import corpus_pipeline
+
+from .test_operators import shingles
+
+
+def firsts(rows, k, percent):
+    """Ids that are the smallest of those reachable by links, by brute force."""
+    sets = {d: shingles(t, k) for d, t in rows}
+    label = {d: d for d in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
+            and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    return sorted(d for d in sets if label[d] == d)
+
+
+def test_near_copy_stage(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 130))]
+        rows.append((3 * i, " ".join(text)))
+        for j in (1, 2):
+            own = list(text)
+            for _ in range(rng.randrange(1, 5)):
+                own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+            rows.append((3 * i + j, " ".join(own)))
+    # Two changes apart in 100 words: 86/106 of five-word shingles, 89/105 of four-word ones.
+    text = [f"t{i}" for i in range(100)]
+    rows += [(200, " ".join(text)), (201, " ".join("x" if i in (30, 60) else w for i, w in enumerate(text)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect())
+    assert got == firsts(rows, 5, 80) != firsts(rows, 4, 85) and 201 not in got
