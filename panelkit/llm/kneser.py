@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .stored import stored
+from .stored import release, stored
 from .words import block_words, mix, text_blocks
 
 END, BEGIN = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -152,6 +152,32 @@ def summed(words: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray
     return [w[order[fresh]] for w in words], whole[fresh], sums
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def _coded(x: np.ndarray) -> bytes:
+    """A column as bytes: narrow numbers, or words as places in a list of them if shorter."""
+    few, small = np.empty(0, np.uint64), narrow(x)
+    if x.dtype == np.uint64:
+        words, at = np.unique(x, return_inverse=True)
+        at = narrow(at)
+        if words.nbytes + at.nbytes < small.nbytes:
+            few, small = words, at
+    return np.array([len(few), small.itemsize], np.int64).tobytes() + few.tobytes() + small.tobytes()
+
+
+def _decoded(data: bytes, at: int, n: int, kind) -> tuple[np.ndarray, int]:
+    """The column of n values that starts at a place, and where it ends."""
+    m, size = (int(x) for x in np.frombuffer(data, np.int64, 2, at))
+    at += 16
+    few = np.frombuffer(data, np.uint64, m, at)
+    at += 8 * m
+    own = np.frombuffer(data, f"u{size}", n, at)
+    return (few[own] if m else own).astype(kind), at + n * size
+
+
 def packed(columns: list[np.ndarray]) -> bytes:
     """Columns as bytes, in the order of the first, whose runs are stored once."""
     order = np.argsort(columns[0], kind="stable")
@@ -159,20 +185,17 @@ def packed(columns: list[np.ndarray]) -> bytes:
     fresh = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
     runs = np.diff(np.append(fresh, len(first)))
     head = np.array([len(first), len(fresh)], np.int64)
-    return b"".join([head.tobytes(), first[fresh].tobytes(), runs.astype(np.uint32).tobytes(),
-                     *[c[order].tobytes() for c in columns[1:]]])
+    return b"".join([head.tobytes(), first[fresh].tobytes(), _coded(runs), *[_coded(c[order]) for c in columns[1:]]])
 
 
 def unpacked(data: bytes, kinds: list) -> list[np.ndarray]:
-    n, m = np.frombuffer(data, np.int64, 2)
-    at = 16
-    first = np.frombuffer(data, np.uint64, m, at)
-    runs = np.frombuffer(data, np.uint32, m, at + 8 * m)
-    at += 12 * int(m)
+    n, m = (int(x) for x in np.frombuffer(data, np.int64, 2))
+    first = np.frombuffer(data, np.uint64, m, 16)
+    runs, at = _decoded(data, 16 + 8 * m, m, np.int64)
     out = [np.repeat(first, runs)]
     for kind in kinds:
-        out.append(np.frombuffer(data, kind, n, at))
-        at += int(n) * np.dtype(kind).itemsize
+        column, at = _decoded(data, at, n, kind)
+        out.append(column)
     return out
 
 
@@ -306,7 +329,7 @@ def train(texts: DataFrame, order: int = 2, root: str | None = None) -> Model:
         for bucket, (keys, counts) in _grouped(batches, [np.int64]):
             _, keys, counts = summed([keys], counts)
             save(root, f"words-{bucket}-keys.npy", keys)
-            save(root, f"words-{bucket}-count.npy", counts)
+            save(root, f"words-{bucket}-count.npy", narrow(counts))
             yield _row("figures", bucket, None, counts.sum(), len(keys))
             top = np.argsort(-counts)[:8]
             for i in top[counts[top] > 1000].tolist():
@@ -345,7 +368,7 @@ def train(texts: DataFrame, order: int = 2, root: str | None = None) -> Model:
                 words, whole, counts = summed(columns[:-1], columns[-1].astype(np.int64))
                 del columns
                 save(root, f"grams{k}-{bucket}-keys.npy", whole)
-                save(root, f"grams{k}-{bucket}-count.npy", counts.astype(np.uint8 if counts.max() < 256 else np.uint32 if counts.max() < 2**32 else np.int64))
+                save(root, f"grams{k}-{bucket}-count.npy", narrow(counts))
                 yield _row("figures", bucket, None, *[(counts == c).sum() for c in (1, 2, 3, 4)])
                 context = joined(words[:-1])
                 at = np.argsort(context, kind="stable")
@@ -358,6 +381,7 @@ def train(texts: DataFrame, order: int = 2, root: str | None = None) -> Model:
                 yield from _sent("next", where, [*rest, before.astype(np.uint32)])
 
         added = stored(_by_bucket(rows, "grams", buckets).mapInArrow(add_grams, BLOCK), "grams")
+        release(spark)
         n = added.where("kind = 'figures'").agg(*[F.sum(c) for c in "abcd"]).first()
         discounts[k] = discounts_of(tuple(x or 0 for x in n))
         present[f"grams{k}"] = {r.bucket for r in added.where("kind = 'figures'").select("bucket").collect()}
@@ -368,11 +392,12 @@ def train(texts: DataFrame, order: int = 2, root: str | None = None) -> Model:
                 keys, fresh = np.unique(columns[0][order_], return_index=True)
                 save(root, f"contexts{k}-{bucket}-keys.npy", keys)
                 for name, c in zip(("total", "one", "two", "more"), columns[1:], strict=True):
-                    save(root, f"contexts{k}-{bucket}-{name}.npy", np.add.reduceat(c[order_], fresh))
+                    save(root, f"contexts{k}-{bucket}-{name}.npy", narrow(np.add.reduceat(c[order_], fresh)))
                 yield _row("figures", bucket, None)
 
         present[f"contexts{k}"] = {r.bucket for r in _by_bucket(added, "contexts", buckets).mapInArrow(add_contexts, BLOCK).select("bucket").collect()}
         rows = added.where("kind = 'next'").withColumn("kind", F.lit("grams"))
+        release(spark)
 
     def add_before(batches):
         for bucket, (keys, before) in _grouped(batches, [np.uint32]):
@@ -381,7 +406,7 @@ def train(texts: DataFrame, order: int = 2, root: str | None = None) -> Model:
             all_before = np.zeros(len(words), np.int64)
             at = among(words, keys)
             all_before[at[at >= 0]] = before[at >= 0]
-            save(root, f"words-{bucket}-before.npy", all_before)
+            save(root, f"words-{bucket}-before.npy", narrow(all_before))
             figures = [(all_before == c).sum() for c in (1, 2, 3, 4)]
             yield _row("figures", bucket, None, *figures, all_before.sum())
             yield _row("more", bucket, None, (all_before > 2).sum())

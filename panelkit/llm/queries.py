@@ -137,6 +137,6 @@ def op6(docs: DataFrame, sf_dir: str) -> DataFrame:
 @query("op8_ngram_model", "documents")
 def op8(docs: DataFrame, sf_dir: str) -> DataFrame:
     out = kneser.held_out(F.col("doc_id"))
-    model = kneser.train(docs.where(~out).select("text"))
+    model = kneser.train(docs.where(~out).select("text"), order=3)
     return kneser.score_frame(docs, model).select(
         "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

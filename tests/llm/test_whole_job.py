@@ -1,8 +1,12 @@
 """Queries and stages do the whole job: cases that a smaller job would miss."""
 
+import math
 import random
 
 import corpus_pipeline
+from panelkit.llm import kneser
+from panelkit.llm.queries import QUERIES
+from panelkit.session import load
 
 from .test_operators import shingles
 
@@ -36,3 +40,14 @@ def test_near_copy_stage(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect())
     assert got == firsts(rows, 5, 80) != firsts(rows, 4, 85) and 201 not in got
+
+
+def test_query_model_has_trigrams(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = load(spark, sf_dir, "documents")
+    got = {r.doc_id: r.score for r in QUERIES["op8_ngram_model"](spark, sf_dir).collect()}
+    learned = docs.where(~kneser.held_out(docs["doc_id"])).select("text")
+    want = {order: {r.doc_id: r.score for r in kneser.score_frame(docs, kneser.train(learned, order)).collect()} for order in (2, 3)}
+    assert all(math.isclose(got[d], s, rel_tol=1e-9) for d, s in want[3].items())
+    # Longer contexts fit learned rows better.
+    assert sum(got.values()) > sum(want[2].values())
