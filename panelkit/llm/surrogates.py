@@ -20,7 +20,10 @@ columns of the input are kept, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,17 +47,51 @@ SYLLABLES = {
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 _NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]*"
 _SEP = r"[^\w+(]{0,6}"
+# Keys by their prefix, or long runs of letters of both cases and digits.
+_PREFIX = r"(?:AKIA|ASIA|AIza|(?:sk|pk|rk)[-_](?:live_|test_|proj-|ant-)?|gh[opsur]_|github_pat_|glpat-|xox[abprs]-)"
+_KEY = (r"(?<![\w+/=.-])(?:" + _PREFIX + r"[A-Za-z0-9_-]{16,}|(?=[A-Za-z0-9+/_-]*\d)(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])"
+        r"[A-Za-z0-9+/_-]{24,}={0,2})(?![\w+/=-])")
+_ASSIGNED = r"(?<![A-Za-z])(?i:(?:api)?key|token|secret|password|passwd|pwd)[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
+_IP6 = r"[0-9A-Fa-f:]*(?:::|(?::[0-9A-Fa-f]{1,4}){7})[0-9A-Fa-f:]*"
 PATTERN = re.compile("|".join((
     r"(?P<secret>(?<![0-9A-Za-z])(?=[0-9A-Za-z]*\d)(?=[0-9A-Za-z]*[A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Za-z]))",
     r"(?P<mail>(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)",
-    r"(?P<phone>(?<![\w+])\+\d{1,3}" + _SEP + r"\(?\d{2,4}\)?" + _SEP + r"\d{3}[ .-]?\d{3,4}(?!\d))",
+    r"(?P<key>" + _KEY + r")",
+    r"(?P<assigned>" + _ASSIGNED + r"(?![0-9A-Fa-f]{32,}(?![0-9A-Za-z]))(?![^\s\"']*@)(?=[^\s\"'<>,;]*\d)(?=[^\s\"'<>,;]*[A-Za-z])(?P<value>[^\s\"'<>,;]{8,}))",
+    r"(?P<ip6>(?<![\w:.])" + _IP6 + r"(?![\w:]|\.\d))",
+    r"(?P<phone>(?<![\w+])(?:\+1" + _SEP + r"\(?\d{3}\)?" + _SEP + r"\d{3}[ .-]?\d{4}|\+\d(?:[ ().\-/]{0,3}\d){7,14}"
+    r"|\+\d{1,3}" + _SEP + r"\(?\d{2,4}\)?" + _SEP + r"\d{3}[ .-]?\d{3,4})(?!\d))",
     r"(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d))",
     r"(?P<account>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
     r"(?P<number>(?<![\d.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{3}-\d{2}-\d{4})(?!\d))",
+    r"(?P<national>(?<![\w+.-])(?:(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+    r"|(?!\d\d[./-]\d\d[./-](?:\d{4}|\d\d(?![./ -]?\d)))(?:\(0\d{1,4}\)|0\d{1,4})(?:[ /.-]{1,3}\d{2,8}){1,6})(?!\w|[.-]\d))",
     r"(?P<name>(?<!\w)(?P<title>" + _TITLE + r")\.? (?P<who>" + _NAME + r"(?:[ -](?!(?:" + _TITLE + r")\b)" + _NAME + r"){0,2}))",
 )))
-MAYBE = re.compile(r"@|\d[^A-Za-z]{5,}\d|[0-9A-Fa-f]{32}|(?:" + "|".join(TITLES) + r")\.? [^\W\d_]").search
+_MAYBE = re.compile(r"@|\d[^A-Za-z]{5,}\d|[0-9A-Za-z+/_-]{19}|(?:" + "|".join(TITLES) + r")\.? [^\W\d_]").search
+_MAYBE_COLON = re.compile("::|" + _ASSIGNED + r"|(?::[0-9A-Fa-f]{1,4}){7}").search
 ENTITIES_SENT = 50_000
+LEAST_ENTROPY = 3.5  # bits a character of a key without a known prefix
+# Country codes of two digits; 1 and 7 have one, all others three.
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def MAYBE(text: str) -> bool:
+    """Whether a text can hold an entity: true for each that does, and quick."""
+    return bool(_MAYBE(text) or (":" in text or "=" in text) and _MAYBE_COLON(text))
+
+
+def country(digits: str) -> str:
+    """The country code at the start of an international number."""
+    if digits[0] in "17":
+        return digits[0]
+    two = digits[:2] in _TWO
+    return digits[:2 if two else 3]
+
+
+def entropy(text: str) -> float:
+    """Bits a character."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
 
 
 def script(text: str) -> str:
@@ -93,6 +130,27 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield m.start(), end, "mail", text[m.start():end].casefold()
         elif kind == "secret":
             yield m.start(), m.end(), "secret", found.casefold()
+        elif kind == "key":
+            if re.match(_PREFIX, found) or entropy(found) >= LEAST_ENTROPY:
+                yield m.start(), m.end(), "key", found
+        elif kind == "assigned":
+            value = m["value"].rstrip(".)]}#$")
+            yield m.start("value"), m.start("value") + len(value), "key", value
+        elif kind == "ip6":
+            end = m.end() - (found.endswith(":") and not found.endswith("::"))
+            try:
+                yield m.start(), end, "ip6", str(ipaddress.IPv6Address(text[m.start():end]))
+            except ValueError:
+                continue
+        elif kind == "national":
+            digits = "".join(c for c in found if c.isdigit())
+            if digits.startswith("00") and 10 <= len(digits) <= 17:
+                yield m.start(), m.end(), "phone", country(digits[2:]) + ":" + digits[2:]
+            elif digits.startswith("0") and not re.fullmatch(r"\D*\d{3}\D+\d{3}\D\d{4}", found):
+                if 9 <= len(digits) <= 12:
+                    yield m.start(), m.end(), "phone", "0:" + digits
+            elif len(digits) in (10, 11):
+                yield m.start(), m.end(), "phone", "1:1" + digits[-10:]
         elif kind == "ip":
             yield m.start(), m.end(), "ip", ".".join(str(int(x)) for x in found.split("."))
         elif kind == "account":
@@ -102,7 +160,7 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
             valid = kind == "number" and len(digits) > 12 and luhn(digits) % 10 == 0
             if kind == "phone":
                 # The country code stays.
-                digits = re.match(r"\+(\d{1,3})", found)[1] + ":" + digits
+                digits = country(digits) + ":" + digits
             yield m.start(), m.end(), "number:valid" if valid else kind, digits
 
 
@@ -146,6 +204,12 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         return "".join(_like(c, s) for c in local) + "@" + ".".join(new)
     if kind == "secret":
         return "".join(_like(c, s, True) for c in entity)
+    if kind == "key":
+        kept = m[0] if (m := re.match(_PREFIX, entity)) else ""
+        return kept + "".join(_like(c, s) for c in entity[len(kept):])
+    if kind == "ip6":
+        groups = ipaddress.IPv6Address(entity).exploded.split(":")
+        return str(ipaddress.IPv6Address(":".join([groups[0], *("".join(_like("0", s, True) for _ in g) for g in groups[1:])])))
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "account":
@@ -168,10 +232,14 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
 
 def laid_out(kind: str, mention: str, new: str) -> str:
     """The surrogate in the layout of a mention."""
+    if kind == "phone":
+        # A mention may lack the country code or dial 00 before it.
+        own = "".join(c for c in mention if c.isdigit())
+        new = own[:max(0, len(own) - len(new))] + new[-len(own):]
     if kind in ("phone", "number", "number:valid", "account"):
         fresh = iter(new)
         return "".join(next(fresh) if c.isalnum() else c for c in mention)
-    if kind == "ip":
+    if kind in ("ip", "ip6", "key"):
         return new
     if kind in ("mail", "secret"):
         return new.upper() if mention.isupper() else new
