@@ -1,8 +1,8 @@
-"""Removal of repeated byte strings by rounds of sorted position-rank pairs.
+"""Removal of repeated byte strings by minimizer anchors and string fingerprints.
 
-Prefix doubling sorts positions by pairs of ranks at growing offsets and drops those that
-have become unique. Run over every byte it moves all positions several times; here the
-rounds have the same form but start where equal strings must meet:
+Not prefix doubling, which sorts positions by pairs of ranks at growing offsets and, run
+over every byte, moves all positions several times. Two fixed rounds start where equal
+strings must meet:
 
 1. Of each ``length``-byte window the ``gram``-byte string with the smallest hash is its
    anchor (equal windows have equal anchors at equal places, whatever surrounds them);
