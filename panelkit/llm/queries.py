@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import chat, jaccard, kneser, mixing, pieces, quality, suffixes, surrogates, topk, toxicity
+from . import chat, jaccard, kneser, mixing, multiindex, pieces, quality, suffixes, surrogates, topk, toxicity
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -140,3 +140,8 @@ def op8(docs: DataFrame, sf_dir: str) -> DataFrame:
     model = kneser.train(docs.where(~out).select("text"), order=3)
     return kneser.score_frame(docs, model).select(
         "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op13_inverted_multi_index", "embeddings")
+def op13(rows: DataFrame, sf_dir: str) -> DataFrame:
+    return multiindex.search(rows)
