@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import chat, jaccard, kneser, mixing, multiindex, pieces, quality, suffixes, surrogates, topk, toxicity
+from . import chat, jaccard, kneser, mixing, multiindex, pieces, quality, runs, suffixes, surrogates, topk, toxicity
 from .registry import ORACLE, QUERIES, query  # noqa: F401
+from .words import bind, words_of
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -145,3 +146,29 @@ def op8(docs: DataFrame, sf_dir: str) -> DataFrame:
 @query("op13_inverted_multi_index", "embeddings")
 def op13(rows: DataFrame, sf_dir: str) -> DataFrame:
     return multiindex.search(rows)
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id, text; in about a tenth of the texts the words from one on repeat a block."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def rewrite(words):
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (F.floor((n - a) / (F.pmod(g, F.lit(8)) + 3)) + 1).cast("int")
+        tail = F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.get(words, a + F.pmod(i, p)))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), tail), " "))
+
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, bind(words_of(F.col("text")), rewrite)).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs", "documents")
+def op12(docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = runs.find(_made_periodic(docs))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.withColumn("first", F.when(F.size("runs") > 0, first)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("first.start").alias("start"), (-F.col("first.less")).alias("length"),
+        F.col("first.period").alias("period"), F.expr("(-1000 * first.less) div first.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
