@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import chat, jaccard, kneser, mixing, multiindex, pieces, quality, runs, suffixes, surrogates, topk, toxicity
+from . import chat, jaccard, kneser, mixing, multiindex, phrases, pieces, quality, runs, suffixes, surrogates, topk, toxicity
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 from .words import bind, words_of
 
@@ -148,6 +148,30 @@ def op13(rows: DataFrame, sf_dir: str) -> DataFrame:
     return multiindex.search(rows)
 
 
+PHRASE_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM t),
+g AS (SELECT lang, m, w[i:i + m - 1] AS p FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w CROSS JOIN (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, p, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= 10),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.p, k.a, k.k, x.a AS l, y.a AS r, (1000000::HUGEINT * k.a * k.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.p = k.p[:k.k] JOIN f y ON y.lang = k.lang AND y.p = k.p[k.k + 1:]
+      QUALIFY row_number() OVER (PARTITION BY k.lang, k.p ORDER BY score, k.k) = 1),
+o AS (SELECT lang, p, max(a) AS over FROM (SELECT lang, a, p[:2] AS p FROM c WHERE m = 3 UNION ALL SELECT lang, a, p[2:] FROM c WHERE m = 3) GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, array_to_string(s.p, ' ')) AS rank, array_to_string(s.p, ' ') AS phrase,
+       s.a, s.l, s.r, n.n, score
+FROM s JOIN n ON n.lang = s.lang LEFT JOIN o ON o.lang = s.lang AND o.p = s.p WHERE over IS NULL OR 100 * over < 50 * s.a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op11_phrases", "documents", PHRASE_SQL)
+def op11(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return phrases.collocations(docs)
+
+
 def _made_periodic(docs: DataFrame) -> DataFrame:
     """doc_id, text; in about a tenth of the texts the words from one on repeat a block."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
