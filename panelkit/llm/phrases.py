@@ -36,7 +36,7 @@ from .stored import stored
 LEAST, TOP, SHADOWED = 10, 2_000, 50
 DEPTH = 3
 BITS = 26
-TOKENS, NAMES, ROUTE, SMALL = 4_000_000, 1 << 20, 2_000_000, 1_024
+TOKENS, NAMES, ROUTE, SMALL = 1_500_000, 1 << 17, 1_500_000, 1_024
 SAMPLE_TEXTS, SAMPLE_EACH = 4_000, 50
 
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
