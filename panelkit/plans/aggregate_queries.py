@@ -108,7 +108,7 @@ def _(t):
            round(quantile_cont(o_totalprice, 0.95), 4) AS q95 FROM orders GROUP BY o_orderpriority""")
 def _(t):
     # The path for groups too large for one task, used here at any size.
-    q = quantiles(t.orders, "o_totalprice", [0.1, 0.5, 0.95], ["o_orderpriority"], direct_rows=0)
+    q = quantiles(t.orders, "o_totalprice", [0.1, 0.5, 0.95], ["o_orderpriority"])
     return q.select("o_orderpriority", "n", *[r(F.col("q")[i], 4).alias(n) for i, n in enumerate(["q10", "q50", "q95"])])
 
 

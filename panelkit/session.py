@@ -8,6 +8,8 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -22,7 +24,9 @@ RUNTIME_SETTINGS = {
 }
 
 
-# A table is broadcast only after its row count was found to be at most this.
+# A table is broadcast only after its values were found to take at most this.
+BROADCAST_BYTES = 16 << 20
+# And a set of fixed-width rows after its rows were counted.
 BROADCAST_ROWS = 100_000
 
 
@@ -106,11 +110,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def measured(df: DataFrame) -> int:
+    """Bytes that the values of all rows take together; 0 only if there are none."""
+    size = F.lit(8 * len(df.columns) + 8)
+    for field in df.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            size += F.coalesce(F.octet_length(df[field.name]), F.lit(0))
+        elif isinstance(kind, (ArrayType, MapType, StructType)):
+            size += F.coalesce(F.octet_length(F.to_json(F.struct(df[field.name]))), F.lit(0))
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
+def fits(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    return measured(df) <= most_bytes
+
+
+def small_side(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Materialise a join side and mark it for broadcast if it is small.
 
     A larger table is returned without the hint, so Spark shuffles it.
     """
     df = cut(df)
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return df.hint("broadcast") if few else df
+    return df.hint("broadcast") if fits(df, most_bytes) else df

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelkit.operators import linkage, matching, plotdata, reshape
+from panelkit.operators import quantiles as quantile_steps
 from panelkit.operators.quantiles import quantiles
 from panelkit.sources import readers, writers
 from panelkit.stats import corr, dist, rm_anova
@@ -17,14 +18,44 @@ def test_quantiles_by_counting(spark):
     pdf = pd.DataFrame({"g": ["hot"] * len(hot) + ["one"] + ["none"] * 2, "x": [*hot, 7.0, None, None]})
     df = spark.createDataFrame(pdf, "g string, x double")
     probs = [0.0, 0.1, 0.5, 0.77, 1.0]
-    got = {r.g: r for r in quantiles(df, "x", probs, ["g"], direct_rows=0).collect()}
+    got = {r.g: r for r in quantiles(df, "x", probs, ["g"]).collect()}
     assert np.allclose(got["hot"].q, np.quantile(hot, probs), rtol=1e-12)
     assert got["one"].q == [7.0] * 5
     assert got["none"].n == 0 and got["none"].q is None
-    whole = quantiles(df, "x", probs, direct_rows=0).collect()[0]
+    whole = quantiles(df, "x", probs).collect()[0]
     assert np.allclose(whole.q, np.quantile([*hot, 7.0], probs), rtol=1e-12)
 
 
+def test_order_code_sorts_as_the_values(spark):
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 2047 << 52, 20_000)
+    powers = 2.0 ** np.arange(-1074, 1024)
+    x = np.concatenate([bits.view(float), powers, np.nextafter(powers, np.inf), np.nextafter(powers, 0), rng.normal(size=5000), [0.0, np.inf]])
+    x = np.concatenate([x, -x])
+    got = spark.createDataFrame(pd.DataFrame({"x": x}))
+    got = quantile_steps.with_code(got, "x", "c").toPandas()
+    size = np.abs(got.x.to_numpy()).view(np.int64)
+    assert (got.c == np.where(got.x < 0, -size, size)).all()
+
+
+def test_quantiles_do_not_depend_on_the_size_of_a_group(spark):
+    rng = np.random.default_rng(6)
+    x = [0.1, 0.7, *rng.normal(size=37).tolist(), float("-inf"), float("inf")]
+    rows = [(g, v, 0) for g in ("one", "two") for v in x] + [("inf", float("-inf"), 0), ("inf", 1.0, 0), ("tenths", 0.1, 0), ("tenths", 0.7, 0)]
+    # The same values beside a group a thousand times as large.
+    rows += [("large", float(v), 0) for v in rng.normal(size=40_000)]
+    df = spark.createDataFrame(rows, "g string, x double, k int")
+    probs = [0.0, 0.3, 0.5, 0.77, 1.0]
+    got = {r.g: list(r.q) for r in quantiles(df, "x", probs, ["g"]).collect()}
+    alone = {g: list(quantiles(df.where(F.col("g") == g), "x", probs).first().q) for g in ("one", "inf", "tenths", "large")}
+    assert all(got[g] == q for g, q in alone.items()) and got["one"] == got["two"]
+    assert got["inf"] == [float("-inf")] * 4 + [1.0]
+    large = np.sort([r[1] for r in rows if r[0] == "large"])
+    h = 39_999 * np.array(probs)
+    low, high, w = large[np.floor(h).astype(int)], large[np.ceil(h).astype(int)], h - np.floor(h)
+    assert got["large"] == [a if a == b or c == 0 else a * (1 - c) + b * c for a, b, c in zip(low, high, w)]
+
+
 def brute_links(new, old, parts):
     out = {}
     for n in new:
@@ -137,8 +168,9 @@ def test_quantiles_with_infinite_and_huge_values(spark):
     rows = [("a", v) for v in (1.0, 2.0, 3.0, 4.0, inf)] + [("b", -1.7e308), ("b", 1.7e308), ("b", 0.0)] + [
         ("c", -inf), ("c", inf), ("c", 5.0)] + [("d", 5e-324), ("d", 0.0), ("d", 1e-323)]
     df = spark.createDataFrame(rows, "g string, x double")
-    for limit in (0, 4, 1000):
-        got = {r.g: list(r.q) for r in quantiles(df, "x", [0.0, 0.5, 1.0], ["g"], direct_rows=limit).collect()}
+    for times in (1, 3, 1001):
+        many = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        got = {r.g: list(r.q) for r in quantiles(many, "x", [0.0, 0.5, 1.0], ["g"]).collect()}
         assert got == {"a": [1.0, 3.0, inf], "b": [-1.7e308, 0.0, 1.7e308], "c": [-inf, 5.0, inf], "d": [0.0, 5e-324, 1e-323]}
 
 
