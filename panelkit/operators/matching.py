@@ -6,23 +6,25 @@ eligible control with the smallest sum of squared SD-unit differences; ties are
 kept, and the lowest control key comes first.
 
 The number of eligible pairs grows with the square of the data, so pairs are
-never listed. The search is a branch-and-bound over a grid, run as joins:
-controls are summarised per cell (count and bounding box), each treated row
-keeps only cells that can still hold its nearest control, and surviving cells
-are replaced by their children until they hold few points. Equal covariate
-vectors are collapsed on both sides first, so copies cost nothing.
+never listed. The search is a branch-and-bound over a k-d tree, run as joins:
+split planes are medians of the controls, leaves are summarised once (count and
+bounding box) and inner nodes are merged from them, a treated row takes a first
+distance from the controls of its own leaf, and then goes down the tree with the
+nodes that can still hold a nearer one. Equal covariate vectors are collapsed on
+both sides first, so copies cost nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
-from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, cut, small_side
+from ..session import cut, fits
 from .groups import group_counts
 from .joins import attach_stats, join_suffixed
 from .keys import running_number
@@ -33,53 +35,99 @@ CALIPERS = tuple(range(25, 101, 5))
 CHOSEN_CALIPER = 70
 
 TIE_TOLERANCE = 1e-5
-LEAF_POINTS = 128
-GRID_DIMS = 3
-MAX_LEVELS = 60
 SLACK = 1e-9
+# Controls a leaf should hold, and how many times as many it may hold; controls that the
+# upper planes are drawn from; levels of the tree that one join goes down.
+LEAF_POINTS, OVERFULL, SAMPLE, FAN = 32, 4, 1 << 16, 4
 
 
 def _names(letter: str, d: int) -> list[str]:
     return [f"{letter}{j}" for j in range(d)]
 
 
-def _depths(level: int, d: int) -> list[int]:
-    """Grid depth per dimension: -1 is unsplit, k is width / 2^k.
-
-    Up to three dimensions are split per level, in turn.
+class _Planes:
+    """Split planes of a balanced k-d tree, in heap order (the root is 1, children follow at
+    twice its number): which covariate, and the value up to which rows go left."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth = depth
+        self.dim, self.value = np.zeros(1 << depth, int), np.full(1 << depth, np.inf)
+        parts = {1: sample}
+        for node in range(1, 1 << depth):
+            own = parts.pop(node)
+            parts[2 * node] = own
+            parts[2 * node + 1] = own[:0]
+            if len(own) > 1:
+                j = int(np.ptp(own, axis=0).argmax())
+                at = float(np.median(own[:, j]))
+                # All that share the largest value go right together.
+                at = at if at < own[:, j].max() else float((own[:, j].min() + own[:, j].max()) / 2)
+                self.dim[node], self.value[node] = j, at
+                right = own[:, j] > at
+                parts[2 * node], parts[2 * node + 1] = own[~right], own[right]
+
+    def leaf(self, d: int) -> Column:
+        if not self.depth:
+            return F.lit(1).cast("bigint")
+        table = lambda values, kind: F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast(f"array<{kind}>")
+        dim, value = table(self.dim, "int"), table(np.where(np.isfinite(self.value), self.value, 0), "double")
+        split = table(np.isfinite(self.value).astype(int), "int")
+        u = F.array(*[F.col(f"u{j}") for j in range(d)])
+        right = lambda node: (F.get(split, node) == 1) & (F.get(u, F.get(dim, node)) > F.get(value, node))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(self.depth)), F.lit(1), lambda node, _: node * 2 + F.when(right(node), 1).otherwise(0)).cast("bigint")
+
+
+def _with_leaves(controls: DataFrame, queries: DataFrame, n: int, d: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both tables with their leaf of one k-d tree over all strata, and its depth.
+
+    The upper planes are medians of a bounded sample of the controls, ``SAMPLE`` of them with
+    the smallest hashes; leaves that still hold many controls of a stratum are split on at
+    medians computed in Spark, level by level.
     """
-    per_level = min(GRID_DIMS, d)
-    splits = [0] * d
-    at = 0
-    for _ in range(level + 1):
-        for _ in range(per_level):
-            splits[at % d] += 1
-            at += 1
-    return [s - 1 for s in splits]
-
-
-def _cells(level: int, d: int, width: float, name: str) -> list[Column]:
-    out = []
-    for j, depth in enumerate(_depths(level, d)):
-        cell = F.lit(0).cast("bigint") if depth < 0 else F.floor(F.col(f"u{j}") * F.lit(2.0**depth / width))
-        out.append(cell.cast("bigint").alias(f"{name}{j}"))
-    return out
-
-
-def _cell_table(controls: DataFrame, level: int, d: int, width: float) -> DataFrame:
-    """Occupied cells of a level with parent, count and bounding box."""
-    parents = _cells(level - 1, d, width, "p") if level else []
-    keys = ["stratum", *([f"p{j}" for j in range(d)] if level else []), *_names("c", d)]
-    boxes = [F.min(f"u{j}").alias(f"lo{j}") for j in range(d)] + [F.max(f"u{j}").alias(f"hi{j}") for j in range(d)]
-    return (
-        controls.select("stratum", *_names("u", d), *parents, *_cells(level, d, width, "c"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), *boxes)
-    )
+    depth = max(0, min(math.ceil(math.log2(max(n, 1) / LEAF_POINTS)), (SAMPLE // 8).bit_length() - 1))
+    sample = np.zeros((0, d))
+    if depth:
+        drawn = controls.select(*_names("u", d))
+        drawn = drawn if n <= SAMPLE else drawn.orderBy(F.xxhash64(*_names("u", d))).limit(SAMPLE)
+        sample = np.stack([c.to_numpy() for c in drawn.toArrow().columns], 1)
+    planes = _Planes(sample, depth)
+    controls, queries = (cut(x.withColumn("leaf", planes.leaf(d))) for x in (controls, queries))
+    while True:
+        full = controls.groupBy("stratum", "leaf").count().where(F.col("count") > OVERFULL * LEAF_POINTS).select("leaf").distinct()
+        spread = [F.struct((F.max(f"u{j}") - F.min(f"u{j}")).alias("w"), F.lit(j).alias("dim"), F.min(f"u{j}").alias("lo"),
+                           F.max(f"u{j}").alias("hi"), F.percentile_approx(f"u{j}", F.lit(0.5), F.lit(1000)).alias("at")) for j in range(d)]
+        widest = controls.join(full, "leaf", "left_semi").groupBy("leaf").agg(F.array_max(F.array(*spread)).alias("s"))
+        middle = (F.col("s.lo") + F.col("s.hi")) / 2
+        splits = cut(widest.select("leaf", F.col("s.dim").alias("_dim"), F.when(F.col("s.at") < F.col("s.hi"), F.col("s.at")).otherwise(middle).alias("_at")))
+        if splits.isEmpty():
+            return controls, queries, depth
+        u = F.array(*[F.col(f"u{j}") for j in range(d)])
+        down = F.col("leaf") * 2 + F.when(F.get(u, F.col("_dim")) > F.col("_at"), 1).otherwise(0)
+        controls, queries = (cut(x.join(splits, "leaf", "left").withColumn("leaf", down).drop("_dim", "_at")) for x in (controls, queries))
+        depth += 1
+
+
+def _boxes(rows: DataFrame, d: int, up: int, fresh: bool) -> DataFrame:
+    """Occupied nodes with count and bounding box, ``up`` levels above those of ``rows``:
+    controls if ``fresh``, or boxes."""
+    sides = [F.min(f"u{j}" if fresh else f"lo{j}").alias(f"lo{j}") for j in range(d)] + [
+        F.max(f"u{j}" if fresh else f"hi{j}").alias(f"hi{j}") for j in range(d)]
+    return rows.groupBy("stratum", F.shiftright("leaf", up).alias("leaf")).agg(
+        (F.count(F.lit(1)) if fresh else F.sum("n")).alias("n"), *sides)
+
+
+def _sum(parts: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, parts)
+
+
+def _most(parts: Sequence[Column]) -> Column:
+    return F.greatest(*parts) if len(parts) > 1 else parts[0]
 
 
 def _prune(frontier: DataFrame, d: int) -> DataFrame:
-    """Drop cells that cannot hold the nearest eligible control."""
+    """Drop nodes that cannot hold the nearest eligible control. ``best`` is a distance that
+    is known to be reached; nodes wholly inside the caliper bring it down."""
     near = [
         F.greatest(F.col(f"lo{j}") - F.col(f"u{j}"), F.col(f"u{j}") - F.col(f"hi{j}"), F.lit(0.0))
         for j in range(d)
@@ -88,78 +136,76 @@ def _prune(frontier: DataFrame, d: int) -> DataFrame:
         F.greatest(F.abs(F.col(f"u{j}") - F.col(f"lo{j}")), F.abs(F.col(f"u{j}") - F.col(f"hi{j}")))
         for j in range(d)
     ]
-    squares = lambda parts: reduce(lambda a, b: a + b, [p * p for p in parts])
-    reach = F.greatest(*near) if d > 1 else near[0]
-    span = F.greatest(*far) if d > 1 else far[0]
     bounded = (
-        frontier.where(reach <= F.col("cal") + SLACK)
-        .withColumn("_low", squares(near))
-        .withColumn("_high", F.when(span <= F.col("cal") - SLACK, squares(far)))
+        frontier.withColumn("_low", _sum([p * p for p in near]))
+        .where((_most(near) <= F.col("cal") + SLACK) & (F.col("best").isNull() | (F.col("_low") <= F.col("best") + TIE_TOLERANCE + SLACK)))
+        .withColumn("_high", F.when(_most(far) <= F.col("cal") - SLACK, _sum([p * p for p in far])))
     )
-    # A query's cells are few (that is what pruning ensures), so this window
+    # A query's nodes are few (that is what pruning ensures), so this window
     # never holds a large group.
-    best = F.min("_high").over(Window.partitionBy("qid", "cal_id"))
+    best = F.least("best", F.min("_high").over(Window.partitionBy("qid", "cal_id")))
     return (
-        bounded.withColumn("_best", best)
-        .where(F.col("_best").isNull() | (F.col("_low") <= F.col("_best") + TIE_TOLERANCE + SLACK))
-        .drop("_low", "_high", "_best")
+        bounded.withColumn("best", best)
+        .where(F.col("best").isNull() | (F.col("_low") <= F.col("best") + TIE_TOLERANCE + SLACK))
+        .drop("_low", "_high")
     )
 
 
-def _search(queries: DataFrame, controls: DataFrame, few: bool, d: int, width: float) -> DataFrame:
-    """Nearest eligible control vectors of each (qid, cal_id), ties kept.
+def _gaps(d: int) -> list[Column]:
+    return [F.abs(F.col(f"u{j}") - F.col(f"v{j}")) for j in range(d)]
 
-    ``few`` says that the control vectors were counted and are few enough to
-    broadcast; cell tables have at most as many rows.
+
+def open_leaves(queries: DataFrame, points: DataFrame, boxes: DataFrame, few_boxes: bool, d: int, depth: int) -> DataFrame:
+    """The leaves that can hold the nearest eligible control of each (qid, cal_id), with ``n``.
+
+    The controls of a query's own leaf give a first distance; then the query descends
+    ``FAN`` levels a join, keeping nodes that can do better.
     """
-    cells = (lambda df: df.hint("broadcast")) if few else small_side
     carry = ["qid", "cal_id", "cal", "stratum", *_names("u", d)]
-    box = ["n", *_names("lo", d), *_names("hi", d)]
-    q = queries.select(*carry, *_cells(0, d, width, "q"))
-
-    steps = [(-1, 0, 1) if depth >= 0 else (0,) for depth in _depths(0, d)]
-    offsets = F.explode(F.array(*[
-        F.struct(*[F.lit(s).alias(f"s{j}") for j, s in enumerate(step)]) for step in product(*steps)
-    ]))
-    around = (
-        q.select("stratum", *_names("q", d)).distinct().withColumn("s", offsets)
-        .select("stratum", *_names("q", d),
-                *[(F.col(f"q{j}") + F.col(f"s.s{j}")).alias(f"c{j}") for j in range(d)])
-    )
-    roots = small_side(cells(_cell_table(controls, 0, d, width)).join(around, ["stratum", *_names("c", d)]))
-    frontier = cut(_prune(
-        q.join(roots, ["stratum", *_names("q", d)]).select(*carry, *_names("c", d), *box), d
-    ))
-    level = 0
-    while level < MAX_LEVELS:
-        fullest = frontier.agg(F.max("n")).first()[0] or 0
-        if fullest <= LEAF_POINTS:
-            break
-        level += 1
-        children = cells(_cell_table(controls, level, d, width))
-        up = frontier.select(*carry, *[F.col(f"c{j}").alias(f"p{j}") for j in range(d)])
-        frontier = cut(_prune(
-            up.join(children, ["stratum", *_names("p", d)]).select(*carry, *_names("c", d), *box), d
-        ))
-    points = (controls.hint("broadcast") if few else controls).select(
-        "stratum", *_cells(level, d, width, "c"), "ckey", "copies",
-        *[F.col(f"u{j}").alias(f"v{j}") for j in range(d)],
-    )
-    gaps = [F.abs(F.col(f"u{j}") - F.col(f"v{j}")) for j in range(d)]
-    pairs = (
-        frontier.select(*carry, *_names("c", d))
-        .join(points, ["stratum", *_names("c", d)])
-        .withColumn("needed", F.greatest(*gaps) if d > 1 else gaps[0])
-        .where(F.col("needed") <= F.col("cal"))
-        .withColumn("dist", reduce(lambda a, b: a + b, [g * g for g in gaps]))
-    )
-    nearest = F.min("dist").over(Window.partitionBy("qid", "cal_id"))
-    return (
-        pairs.withColumn("_min", nearest)
-        .where(F.col("dist") <= F.col("_min") + TIE_TOLERANCE)
-        .withColumn("at_min", F.col("dist") == F.col("_min"))
-        .select("qid", "cal_id", "ckey", "copies", "dist", "needed", "at_min")
-    )
+    near = queries.select(*carry, "leaf").join(points, ["stratum", "leaf"]).where(_most(_gaps(d)) <= F.col("cal"))
+    first = near.groupBy("qid", "cal_id").agg(F.min(_sum([g * g for g in _gaps(d)])).alias("best"))
+    frontier = queries.select(*carry).join(first, ["qid", "cal_id"], "left")
+    levels = list(range(depth, 0, -FAN))[::-1] or [0]
+    for i, level in enumerate(levels):
+        nodes = _boxes(boxes, d, depth - level, False)
+        nodes = nodes.hint("broadcast") if few_boxes else nodes
+        if i:
+            nodes = nodes.withColumn("_up", F.shiftright("leaf", level - levels[i - 1]))
+            frontier = frontier.select(*carry, "best", F.col("leaf").alias("_up")).join(nodes, ["stratum", "_up"])
+        else:
+            frontier = frontier.join(nodes, "stratum")
+        frontier = cut(_prune(frontier.select(*carry, "best", "leaf", "n", *_names("lo", d), *_names("hi", d)), d))
+    return frontier.select(*carry, "leaf", "n")
+
+
+class _Controls:
+    """Control vectors laid out by leaf, with the boxes of the leaves."""
+
+    def __init__(self, controls: DataFrame, depth: int, d: int):
+        self.depth, self.d = depth, d
+        self.few = fits(controls)
+        self.boxes = cut(_boxes(controls, d, 0, True))
+        self.few_boxes = fits(self.boxes)
+        points = controls.select("stratum", "leaf", "ckey", "copies", *[F.col(f"u{j}").alias(f"v{j}") for j in range(d)])
+        self.points = points.hint("broadcast") if self.few else points
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        """Nearest eligible control vectors of each (qid, cal_id), ties kept."""
+        d = self.d
+        pairs = (
+            open_leaves(queries, self.points, self.boxes, self.few_boxes, d, self.depth)
+            .join(self.points, ["stratum", "leaf"])
+            .withColumn("needed", _most(_gaps(d)))
+            .where(F.col("needed") <= F.col("cal"))
+            .withColumn("dist", _sum([g * g for g in _gaps(d)]))
+        )
+        nearest = F.min("dist").over(Window.partitionBy("qid", "cal_id"))
+        return (
+            pairs.withColumn("_min", nearest)
+            .where(F.col("dist") <= F.col("_min") + TIE_TOLERANCE)
+            .withColumn("at_min", F.col("dist") == F.col("_min"))
+            .select("qid", "cal_id", "ckey", "copies", "dist", "needed", "at_min")
+        )
 
 
 def scaled_rows(
@@ -197,14 +243,12 @@ def sweep(
     controls = cut(scaled.where(~F.col("treated")).groupBy(*vector).agg(
         F.min("key").alias("ckey"), F.count(F.lit(1)).alias("copies")
     ))
-    few = controls.count() <= BROADCAST_ROWS
     queries = scaled.where("treated").groupBy(*vector).agg(F.min("key").alias("qid"))
+    controls, queries, depth = _with_leaves(controls, queries, controls.count(), d)
+    laid = _Controls(controls, depth, d)
     widest = max(calipers)
-    width = widest / 100.0
 
-    first = cut(_search(
-        queries.withColumn("cal_id", F.lit(widest)).withColumn("cal", F.lit(width)), controls, few, d, width
-    ))
+    first = cut(laid.search(queries.withColumn("cal_id", F.lit(widest)).withColumn("cal", F.lit(widest / 100.0))))
     reach = first.where("at_min").groupBy("qid").agg(F.min("needed").alias("reach"))
     asked = queries.join(reach, "qid").select(
         "*", F.explode(F.array(*[F.lit(c) for c in sorted(calipers)])).alias("cal_id")
@@ -215,7 +259,7 @@ def sweep(
     again = cut(asked.where(F.col("cal") < F.col("reach")).drop("reach"))
     found = ready
     if not again.isEmpty():
-        found = ready.unionByName(_search(again, controls, few, d, width).drop("at_min"))
+        found = ready.unionByName(laid.search(again).drop("at_min"))
 
     who = scaled.where("treated").join(queries, vector).select(
         F.col("key").alias("treated"), "stratum", "qid"

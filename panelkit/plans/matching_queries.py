@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import groups, matching
 from ..session import cut
 from ..stats import corr
-from .panel import COVARIATES
+from .panel import COVARIATES, SIX_COVARIATES
 from .registry import query, rounded
 from .sql_stats import corr_test, finish_corr
 
@@ -45,6 +45,23 @@ def _(t):
     return rounded(matching.first_ties(vectors), 8)
 
 
+SIX_SQL = f"""
+    WITH sds AS (SELECT c_mktsegment, {", ".join(f"stddev_samp({c}) AS sd_{c}" for c in SIX_COVARIATES)} FROM twins6 GROUP BY c_mktsegment),
+    pairs AS (SELECT a.c_mktsegment AS stratum, a.c_custkey AS treated, b.c_custkey AS control,
+                greatest({", ".join(f"abs(a.{c} - b.{c}) / sd_{c}" for c in SIX_COVARIATES)}) AS needed,
+                {" + ".join(f"pow((a.{c} - b.{c}) / sd_{c}, 2)" for c in SIX_COVARIATES)} AS dist
+              FROM twins6 a JOIN twins6 b ON a.c_mktsegment = b.c_mktsegment AND a.treated AND NOT b.treated JOIN sds ON sds.c_mktsegment = a.c_mktsegment),
+    ties AS (SELECT CAST(c AS INT) AS caliper, p.* FROM pairs p JOIN (SELECT unnest(range(25, 101, 5)) AS c) ON needed <= c / 100.0
+             QUALIFY dist <= min(dist) OVER (PARTITION BY c, treated) + 1e-5)
+    SELECT caliper, stratum, treated, min(control) AS control, count(*) AS n_ties, round(min(dist), 8) AS dist FROM ties GROUP BY ALL"""
+
+
+@query("j17_caliper_sweep_six", SIX_SQL)
+def _(t):
+    vectors = cut(matching.sweep(t.twins6, **{**KEYS, "covariates": SIX_COVARIATES}))
+    return rounded(matching.first_ties(vectors), 8)
+
+
 @query("j18_pick_caliper", "SELECT treated, control FROM twin_first WHERE caliper = 70")
 def _(t):
     _, vectors = _sweep(t)

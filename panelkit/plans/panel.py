@@ -116,6 +116,11 @@ VIEWS = {
         SELECT c_custkey, c_mktsegment, c_acctbal, avg(o_totalprice) AS avg_price,
                CAST(count(*) AS DOUBLE) AS n_orders, c_custkey % 5 = 0 AS treated
         FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL""",
+    "twins6": """
+        SELECT c_custkey, c_mktsegment, c_acctbal, avg(o_totalprice) AS avg_price, CAST(count(*) AS DOUBLE) AS n_orders,
+               max(o_totalprice) AS max_price, min(o_totalprice) AS min_price,
+               CAST(date_diff('day', DATE '1990-01-01', CAST(min(o_orderdate) AS DATE)) AS DOUBLE) AS first_day, c_custkey % 5 = 0 AS treated
+        FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL""",
     # Every eligible pair, by brute force; the Spark plan never forms these.
     "twin_sds": """
         SELECT c_mktsegment, stddev_samp(c_acctbal) AS sd1, stddev_samp(avg_price) AS sd2 FROM twins GROUP BY c_mktsegment""",
@@ -140,6 +145,7 @@ VIEWS = {
 
 CODE_PARTS = ("w1", "w2", "brand", "kind", "size")
 COVARIATES = ("c_acctbal", "avg_price")
+SIX_COVARIATES = (*COVARIATES, "n_orders", "max_price", "min_price", "first_day")
 
 
 class Tables:
@@ -214,3 +220,13 @@ class Tables:
         )
         subjects = self.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
         return subjects.join(totals, "c_custkey").withColumn("treated", F.col("c_custkey") % 5 == 0)
+
+    @cached_property
+    def twins6(self) -> DataFrame:
+        first_day = F.datediff(F.min("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("double")
+        totals = self.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+            F.avg("o_totalprice").alias("avg_price"), F.count(F.lit(1)).cast("double").alias("n_orders"),
+            F.max("o_totalprice").alias("max_price"), F.min("o_totalprice").alias("min_price"), first_day.alias("first_day"),
+        )
+        subjects = self.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
+        return subjects.join(totals, "c_custkey").withColumn("treated", F.col("c_custkey") % 5 == 0)

@@ -125,8 +125,8 @@ def test_matching_with_hot_copies(spark):
     pdf["s"] = np.where(rng.random(n) < 0.8, "big", "small")
     pdf["tr"] = rng.random(n) < 0.3
     pdf["k"] = np.arange(n)
-    old_leaf = matching.LEAF_POINTS
-    matching.LEAF_POINTS = 2  # forces deep searches
+    old = matching.LEAF_POINTS, matching.OVERFULL, matching.SAMPLE
+    matching.LEAF_POINTS, matching.OVERFULL, matching.SAMPLE = 2, 1, 64  # deep searches, most planes from Spark
     try:
         calipers = [25, 55, 100]
         frame = spark.createDataFrame(pdf)
@@ -135,7 +135,7 @@ def test_matching_with_hot_copies(spark):
         got = matching.first_ties(vectors).toPandas()
         ties = matching.numbered_ties(vectors, scaled).toPandas()
     finally:
-        matching.LEAF_POINTS = old_leaf
+        matching.LEAF_POINTS, matching.OVERFULL, matching.SAMPLE = old
     for c in calipers:
         part = got[got.caliper == c]
         assert dict(zip(part.treated, zip(part.control, part.n_ties))) == brute_match(pdf, covs, c / 100)
@@ -144,6 +144,45 @@ def test_matching_with_hot_copies(spark):
         assert (listed.n == sizes).all() and (listed.top == sizes).all()
 
 
+def six_covariates(n, rng):
+    # Skewed and rounded covariates, correlated as scale scores are.
+    base = rng.normal(size=(n, 6)) @ np.linalg.cholesky(0.6 * np.eye(6) + 0.4)
+    base[:, 1] = np.exp(base[:, 1])
+    base[:, 2:4] = base[:, 2:4].round(1)
+    pdf = pd.DataFrame(base, columns=[f"x{j}" for j in range(6)])
+    pdf["s"] = np.where(rng.random(n) < 0.7, "f", "m")
+    pdf["tr"] = rng.random(n) < 0.3
+    pdf["k"] = np.arange(n)
+    return pdf
+
+
+def test_twins_of_six_covariates(spark):
+    pdf = six_covariates(5000, np.random.default_rng(4))
+    covs = [f"x{j}" for j in range(6)]
+    vectors = matching.sweep(spark.createDataFrame(pdf), "k", "tr", "s", covs, [25, 50, 70, 100])
+    got = matching.first_ties(vectors).toPandas()
+    for c in (25, 50, 70, 100):
+        part = got[got.caliper == c]
+        assert dict(zip(part.treated, zip(part.control, part.n_ties))) == brute_match(pdf, covs, c / 100)
+
+
+def test_pairs_of_a_query_do_not_grow_with_the_table(spark):
+    made = []
+    for n in (8_000, 64_000):
+        pdf = six_covariates(n, np.random.default_rng(n))
+        scaled = matching.scaled_rows(spark.createDataFrame(pdf), "k", "tr", "s", [f"x{j}" for j in range(6)])
+        u = ["stratum", *[f"u{j}" for j in range(6)]]
+        controls = scaled.where("NOT treated").groupBy(*u).agg(F.min("key").alias("ckey"), F.count(F.lit(1)).alias("copies"))
+        queries = scaled.where("treated AND key % 16 = 0").groupBy(*u).agg(F.min("key").alias("qid"))
+        controls, queries, depth = matching._with_leaves(controls, queries, controls.count(), 6)
+        laid = matching._Controls(controls, depth, 6)
+        asked = queries.withColumn("cal_id", F.lit(100)).withColumn("cal", F.lit(1.0))
+        leaves = matching.open_leaves(asked, laid.points, laid.boxes, laid.few_boxes, 6, depth)
+        made.append(leaves.agg(F.sum("n")).first()[0] / asked.count())
+    # All eligible pairs would grow eightfold.
+    assert made[1] < 2 * made[0], made
+
+
 def test_matches_grow_with_the_caliper(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"k": range(200), "s": "a", "tr": rng.random(200) < 0.3, "x": rng.normal(size=200), "y": rng.normal(size=200)})
