@@ -9,20 +9,21 @@ than k parts, each old code agreeing on exactly k parts agrees on exactly one
 set of k. So the candidate count of a code at its best size is the sum, over the
 sets of that size, of how many old codes share that combination of values. The
 old side is therefore counted per combination first (one row each, however hot
-the combination), and the new side looks the counts up. Pairs are written only
-by :func:`candidate_pairs`, where they are the result, and each comes from one
-combination only.
+the combination), and the new side looks the counts up. The candidates themselves
+stay factorised (:func:`review_lists`): codes to combinations and combinations to
+old codes; each pair comes from one combination only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NON_ALNUM
 from ..session import cut, spread
+from .keys import running_number
 
 COMMENT_AUTO = "auto match"
 
@@ -30,8 +31,8 @@ COMMENT_AUTO = "auto match"
 def _combination_rows(
     df: DataFrame, keep: Sequence[str], parts: Sequence[str], sizes: Sequence[int]
 ) -> DataFrame:
-    """One row per set of k parts without a missing part: ``k`` and ``combo``,
-    the set and its values. A set is a bit mask over the parts."""
+    """One row per set of k parts without a missing part: ``m``, ``k`` and ``combo``,
+    the set and its values. A set is a bit mask ``m`` over the parts."""
     masks = [m for m in range(1, 2 ** len(parts)) if m.bit_count() in set(sizes)]
     missing = " + ".join(f"if(`{p}` IS NULL, {1 << i}, 0)" for i, p in enumerate(parts))
     # Lengths keep ("a", "bc") apart from ("ab", "c").
@@ -40,7 +41,7 @@ def _combination_rows(
     )
     chosen = df.select(*keep, *parts, F.explode(F.expr(f"array({', '.join(map(str, masks))})")).alias("m"))
     return chosen.where(F.expr(f"m & ({missing}) = 0")).select(
-        *keep, F.bit_count("m").alias("k"), F.expr(f"concat(m, '/', {values})").alias("combo")
+        *keep, "m", F.bit_count("m").alias("k"), F.expr(f"concat(m, '/', {values})").alias("combo")
     )
 
 
@@ -103,17 +104,50 @@ def accept_single(best: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(
+def review_lists(
     new: DataFrame, old: DataFrame, key: str, parts: Sequence[str], best: DataFrame
-) -> DataFrame:
-    """Every (new, old) pair at the best concordance found by
-    :func:`best_candidates`. The rows are the review list itself."""
+) -> tuple[DataFrame, DataFrame]:
+    """The candidates of every new code at its best concordance, without listing pairs.
+
+    ``lists`` has a row per new code and combination: ``new``, ``concordance``, ``combo``,
+    how many old codes share it (``n``) and how many candidates of the code come before them
+    (``before``). ``members`` has a row per old code and combination that some list names:
+    ``combo``, ``old`` and its ``place``, from 1. Both grow with the codes, at most by the
+    number of sets of parts; a combination shared by a third of all codes is stored once.
+    Candidates are in order of the parts that agree (the set as a number), then of ``old``.
+    """
     left = _as_text(new, key, parts, "new").join(best.select("new", "concordance"), "new")
-    right = _as_text(old, key, parts, "old")
     sizes = range(len(parts), 0, -1)
-    here = _combination_rows(left, ["new", "concordance"], parts, sizes)
-    here = here.where(F.col("k") == F.col("concordance")).drop("k")
-    return here.join(_combination_rows(right, ["old"], parts, sizes).drop("k"), "combo").drop("combo")
+    wanted = _combination_rows(left, ["new", "concordance"], parts, sizes).where(F.col("k") == F.col("concordance")).drop("k")
+    shared = _combination_rows(_as_text(old, key, parts, "old"), ["old"], parts, sizes).select("combo", "old")
+    named = wanted.select("combo").distinct()
+    members = cut(running_number(cut(shared.join(named, "combo", "left_semi")), ["combo"], ["old"], "place"))
+    counted = wanted.join(members.groupBy("combo").agg(F.count(F.lit(1)).alias("n")), "combo")
+    # A code has at most as many rows here as there are sets of one size.
+    earlier = Window.partitionBy("new").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    lists = counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return lists.select("new", "concordance", "combo", "n", "before"), members
+
+
+def expand(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """Every (new, old) pair of factorised lists, with its concordance."""
+    return lists.select("new", "concordance", "combo").join(members.select("combo", "old"), "combo").drop("combo")
+
+
+def candidates_at(lists: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
+    """The ``nth`` candidate (from 1) of each asked ``new``; numbers past the end give no row.
+    Each request meets one combination and one member of it."""
+    held = asked.select("new", "nth").join(lists, "new").where((F.col("nth") > F.col("before")) & (F.col("nth") <= F.col("before") + F.col("n")))
+    place = held.select("new", "concordance", "nth", "combo", (F.col("nth") - F.col("before")).alias("place"))
+    return place.join(members, ["combo", "place"]).select("new", "concordance", "nth", "old")
+
+
+def candidate_pairs(
+    new: DataFrame, old: DataFrame, key: str, parts: Sequence[str], best: DataFrame
+) -> DataFrame:
+    """Every (new, old) pair at the best concordance found by :func:`best_candidates`; as many
+    rows as there are pairs. :func:`review_lists` holds the same in linear space."""
+    return expand(*review_lists(new, old, key, parts, best))
 
 
 def exact_links(new: DataFrame, old: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

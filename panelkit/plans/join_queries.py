@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import groups, joins, keys, linkage
+from ..operators import groups, joins, keys, linkage, relinking
 from ..session import cut
 from ..stats.predictors import number_ranked, prefixes
 from .panel import CODE_PARTS
@@ -116,6 +116,19 @@ def _(t):
     return linkage.candidate_pairs(new, old, "code", CODE_PARTS, best)
 
 
+@query("j11_review_pages", LINK_SQL.replace(" AS concordance\n", """ AS concordance,
+             coalesce(CAST(n.w1 = o.w1 AS INT), 0) + 2 * coalesce(CAST(n.w2 = o.w2 AS INT), 0) + 4 * coalesce(CAST(n.brand = o.brand AS INT), 0)
+             + 8 * coalesce(CAST(n.kind = o.kind AS INT), 0) + 16 * coalesce(CAST(n.size = o.size AS INT), 0) AS m\n""") + """
+    SELECT new, concordance, row_number() OVER (PARTITION BY new ORDER BY m, old) AS nth, old FROM best QUALIFY nth % 10 = 1""")
+def _(t):
+    # The first candidate of every page of ten, of lists that are never written out.
+    new, old = _sides(t)
+    best = cut(linkage.best_candidates(new, old, "code", CODE_PARTS))
+    lists, members = linkage.review_lists(new, old, "code", CODE_PARTS, best)
+    asked = best.where("n_candidates > 0").select("new", F.explode(F.sequence(F.lit(1), F.col("n_candidates"), F.lit(10))).alias("nth"))
+    return linkage.candidates_at(cut(lists), members, asked)
+
+
 @query("j12_auto_accept", LINK_SQL + """
     SELECT new, max(concordance) AS concordance, count(*) AS n_candidates, CASE WHEN count(*) = 1 THEN min(old) END AS old,
            CASE WHEN count(*) = 1 THEN 'auto match' ELSE '' END AS comment FROM best GROUP BY new""")
@@ -171,6 +184,44 @@ def _(t):
     return matched.withColumn("matched", F.lit(True)).unionByName(unmatched.withColumn("matched", F.lit(False)))
 
 
+# Three sheets of decisions and corrections of old rows, by rule, one after the other.
+ROUNDS_SQL = LINK_SQL.replace("WITH pairs", """WITH left_open AS (
+      SELECT * FROM codes WHERE side = 'new' AND NOT (row_id % 12 IN (1, 3, 5) AND row_id % 7 <> 0)),
+    dropped AS (SELECT row_id + CASE WHEN row_id % 8 = 1 THEN 1 ELSE -1 END AS row_id FROM codes
+                WHERE side = 'new' AND row_id % 12 IN (1, 3, 5) AND row_id % 7 <> 0 AND row_id % 4 = 1),
+    old_rows AS (
+      SELECT row_id, CASE WHEN row_id % 20 IN (4, 8, 12) THEN code || ' corrected' ELSE code END AS code,
+             CASE WHEN row_id % 20 IN (4, 8, 12) THEN NULL ELSE w1 END AS w1, w2, brand,
+             CASE WHEN row_id % 20 IN (4, 8, 12) THEN 'STANDARD TIN' ELSE kind END AS kind, size
+      FROM codes WHERE side = 'old' AND row_id NOT IN (SELECT row_id FROM dropped)),
+    pairs""").replace("FROM codes n JOIN codes o ON n.side = 'new' AND o.side = 'old')", "FROM left_open n CROSS JOIN old_rows o)")
+
+
+def _round(t, k: int):
+    row = F.col("row_id")
+    asked = t.codes.where((F.col("side") == "new") & (row % 12 == 2 * k + 1))
+    sheet = asked.select(
+        F.col("code").alias("new"), F.lit(None).cast("string").alias("old"),
+        F.when(row % 4 == 1, F.format_string("doppelt %d %d", row - 1, row + 1)).otherwise("auto match").alias("comment"),
+        F.when(row % 8 == 1, row - 1).otherwise(row + 1).cast("string").alias("comment2"),
+        F.when(row % 7 == 0, "-").otherwise("+").alias("decision"))
+    fixed = t.codes.where((F.col("side") == "old") & (row % 20 == 4 * k + 4)).select(
+        row.alias("no"), F.concat(F.col("code"), F.lit(" corrected")).alias("old"), F.lit(None).cast("string").alias("w1"), "w2", "brand",
+        F.lit("STANDARD TIN").alias("kind"), "size")
+    return sheet, fixed
+
+
+@query("j14_relink_three_rounds", ROUNDS_SQL + """
+    SELECT code AS new, coalesce(max(concordance), 0) AS concordance, count(old) AS n_candidates, CASE WHEN count(old) = 1 THEN min(old) END AS old
+    FROM left_open LEFT JOIN best ON code = new GROUP BY code""")
+def _(t):
+    new, old = _sides(t)
+    links = relinking.start(new, old, "code", "row_id", CODE_PARTS)
+    for k in range(3):
+        links = relinking.after_review(links, *_round(t, k))
+    return links.candidates()
+
+
 # --- keys and windows ------------------------------------------------------
 
 

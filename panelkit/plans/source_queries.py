@@ -116,8 +116,8 @@ def _(t):
     new, old = _sides(t)
     best = linkage.best_candidates(new, old, "code", CODE_PARTS)
     path = scratch_path(t.spark, "candidates")
-    writers.write_candidates(linkage.candidate_pairs(new, old, "code", CODE_PARTS, best), path)
-    return readers.read_candidates(t.spark, path)
+    writers.write_review_lists(*linkage.review_lists(new, old, "code", CODE_PARTS, best), path)
+    return linkage.expand(*readers.read_review_lists(t.spark, path))
 
 
 @query("s9_snapshot", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")

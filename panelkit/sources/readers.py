@@ -113,5 +113,13 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     return _unescaped(spark.read.schema(CANDIDATES).options(header=True, sep=";", mode="FAILFAST", **QUOTING).csv(path))
 
 
+def read_review_lists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Factorised candidates as :func:`panelkit.sources.writers.write_review_lists` leaves them."""
+    read = lambda name, schema: _unescaped(
+        spark.read.schema(schema).options(header=True, sep=";", mode="FAILFAST", **QUOTING).csv(f"{path}/{name}"))
+    return (read("lists", "new string, combo string, n long, before long, concordance int"),
+            read("members", "combo string, old string, place long"))
+
+
 def snapshot_read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

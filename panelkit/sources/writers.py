@@ -50,6 +50,15 @@ def write_candidates(pairs: DataFrame, path: str) -> None:
     )
 
 
+def write_review_lists(lists: DataFrame, members: DataFrame, path: str) -> None:
+    """Factorised candidates for review: ``lists`` in one folder per concordance, a code's rows
+    together, and ``members`` by combination. Rows grow with the codes, not with the pairs."""
+    rows = escaped(lists).repartitionByRange("concordance", "new").sortWithinPartitions("concordance", "new", "before")
+    rows.write.partitionBy("concordance").options(header=True, sep=";", **QUOTING).csv(f"{path}/lists")
+    held = escaped(members).repartitionByRange("combo", "place").sortWithinPartitions("combo", "place")
+    held.write.options(header=True, sep=";", **QUOTING).csv(f"{path}/members")
+
+
 def write_snapshot(df: DataFrame, path: str) -> DataFrame:
     """Write a table and read it back, free of its lineage."""
     df.write.parquet(path)
