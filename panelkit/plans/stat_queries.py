@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import groups, joins, keys
-from ..session import cut
-from ..stats import corr, moments, predictors, reliability, rm_anova, ttests
+from ..session import cut, scratch_path
+from ..sources import writers
+from ..stats import corr, factors, moments, predictors, reliability, rm_anova, ttests
 from .registry import query, rounded
 from .sql_stats import NORMAL, corr_test, finish_corr, orthogonal, p_f, p_t
 
@@ -173,6 +174,62 @@ def _(t):
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 8)
 
 
+# The three symptom scales item by item, reversed items turned round.
+TURNED = {"PS01": (6, (1, 3, 8, 10, 11)), "ST02": (5, (1, 3, 6, 7, 10, 13, 14, 16, 19))}
+SYMPTOM_ITEMS = {
+    f"{b}_{i:02d}": f"{TURNED[b][0]} - {b}_{i:02d}" if b in TURNED and i in TURNED[b][1] else f"{b}_{i:02d}"
+    for b, n in (("AS01", 18), ("PS01", 16), ("ST02", 20)) for i in range(1, n + 1)
+}
+
+
+def _symptoms(t):
+    # As a written table: what the planner infers from 54 computed columns grows with every pair of them.
+    items = t.survey.selectExpr(*[f"{e} AS {n}" for n, e in SYMPTOM_ITEMS.items()])
+    return writers.write_snapshot(items, scratch_path(t.spark, "symptoms"))
+
+
+def _turned_alpha_sql(block: str) -> str:
+    cols = [f"({e})" for n, e in SYMPTOM_ITEMS.items() if n.startswith(block)]
+    return f"""SELECT '{block}' AS block, count({' + '.join(cols)}) AS n, round({len(cols)} / {len(cols) - 1}.0 * (1 - ({' + '.join(f'var_samp({c})' for c in cols)})
+        / var_samp({' + '.join(cols)})), 8) AS alpha FROM survey"""
+
+
+@query("t10_cronbach_alpha_turned", " UNION ALL ".join(_turned_alpha_sql(b) for b in ("AS01", "PS01", "ST02")))
+def _(t):
+    items = _symptoms(t)
+    parts = [reliability.cronbach_alpha(items, [n for n in SYMPTOM_ITEMS if n.startswith(b)]).withColumn("block", F.lit(b)) for b in ("AS01", "PS01", "ST02")]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 8)
+
+
+# Eigenvalues have no SQL form; the sums of their powers are traces of powers of the matrix.
+@query("t9_eigenvalue_sums_items", f"""
+    WITH c AS (SELECT o_orderkey AS id, [{", ".join(f"CAST({e} AS DOUBLE)" for e in SYMPTOM_ITEMS.values())}] AS v FROM survey
+               WHERE {" AND ".join(f"{n} IS NOT NULL" for n in SYMPTOM_ITEMS)}),
+    l AS (SELECT id, unnest(range({len(SYMPTOM_ITEMS)})) AS j, unnest(v) AS v FROM c),
+    r AS (SELECT a.j AS i, b.j AS j, corr(a.v, b.v) AS r FROM l a JOIN l b USING (id) GROUP BY ALL)
+    SELECT (SELECT count(*) FROM c) AS n, count(*) FILTER (i = j) AS k, round(sum(r) FILTER (i = j), 6) AS trace, round(sum(r * r), 5) AS squares,
+           round((SELECT sum(a.r * b.r * c.r) FROM r a JOIN r b ON a.j = b.i JOIN r c ON b.j = c.i AND c.j = a.i), 4) AS cubes FROM r""")
+def _(t):
+    items = _symptoms(t)
+    e = corr.factor_screen(items, list(SYMPTOM_ITEMS))
+    sums = e.agg(F.count("eigenvalue").alias("k"), F.sum("eigenvalue").alias("trace"), F.sum(F.col("eigenvalue") ** 2).alias("squares"),
+                 F.sum(F.col("eigenvalue") ** 3).alias("cubes"))
+    complete = items.dropna().agg(F.count(F.lit(1)).alias("n"))
+    return rounded(sums.withColumn("n", joins.constant(complete, "n")), 6, squares=5, cubes=4)
+
+
+@query("t9_scree_rules_items")
+def _(t):
+    return rounded(factors.scree_rules(_symptoms(t), list(SYMPTOM_ITEMS)))
+
+
+@query("t9_factor_counts_items")
+def _(t):
+    rules = cut(factors.scree_rules(_symptoms(t), list(SYMPTOM_ITEMS)))
+    return factors.factor_counts(rules).withColumn("rule", F.lit("parallel")).unionByName(
+        factors.factor_counts(rules, "one").withColumn("rule", F.lit("one")))
+
+
 # --- choosing predictors ---------------------------------------------------
 
 TRAIN_SQL = "('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8))::BIGINT % 4 < 3"

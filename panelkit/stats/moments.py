@@ -38,7 +38,9 @@ def cross_products(
     """
     k = width or len(cols)
     centre = np.array(centres(df, cols) if centre is None else centre)
-    data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=list(cols))
+    # Incomplete rows are dropped in the task: a condition on all columns makes the planner
+    # infer one constraint for every set of cast columns.
+    data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     upper = np.triu_indices(k + 1)
     schema = T.StructType(
         [data.schema[b] for b in by]
@@ -62,7 +64,10 @@ def cross_products(
             groups = batch.groupby(by, dropna=False, sort=False) if by else [((), batch)]
             for key, part in groups:
                 x = part[cols].to_numpy(float) - centre
-                x = np.column_stack([np.ones(len(part)), expand(x) if expand else x])
+                x = x[~np.isnan(x).any(1)]
+                if not len(x):
+                    continue
+                x = np.column_stack([np.ones(len(x)), expand(x) if expand else x])
                 block = x.T @ x
                 key = key if isinstance(key, tuple) else (key,)
                 sums[key] = sums.get(key, 0.0) + block
