@@ -120,5 +120,5 @@ def factor_counts(rules: DataFrame, reference: str = "parallel") -> DataFrame:
         F.count_if(e >= 1).cast("int").alias("n_kaiser"),
         leading(e > F.col("parallel")).alias("n_parallel"),
         leading((e >= bar) & (e >= F.col("predicted"))).alias("n_optimal"),
-        F.coalesce(F.max_by(F.col("k") - 1, "acceleration"), F.lit(0)).cast("int").alias("n_elbow"),
+        F.coalesce(F.max_by(F.col("k") - 1, F.nanvl("acceleration", F.lit(None))), F.lit(0)).cast("int").alias("n_elbow"),
     )
