@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from ..operators import groups, joins, keys
 from ..session import cut, scratch_path
 from ..sources import writers
@@ -405,3 +406,31 @@ def _(t):
 @query("t22_attrition_means", ATTR_SQL + "SELECT stayed, count(*) AS n, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in ATTRITION) + " FROM attr GROUP BY stayed")
 def _(t):
     return rounded(groups.group_means(_attrition(t), ATTRITION, ["stayed"]), 4)
+
+
+# --- report strings --------------------------------------------------------
+
+P_TEXT_SQL = "CASE WHEN p < .001 THEN 'p < .001' ELSE printf('p = %.3f', p) END"
+
+
+@query("x24_report_t", f"""
+    SELECT variable, printf('t(%.0f) = %.2f', df, t) || ', ' || {P_TEXT_SQL} || ', ' || printf('d = %.2f [%.2f; %.2f]', d, d_lo, d_hi) AS report
+    FROM ({ATTR_SQL} {" UNION ALL ".join(_two_sample_sql(v) for v in ATTRITION)})""")
+def _(t):
+    tests = rounded(ttests.two_sample(_attrition(t), ATTRITION, "stayed"))
+    return tests.select("variable", labels.report_t("t", "df", "p", "d", "d_lo", "d_hi").alias("report"))
+
+
+@query("x24_report_r", "SELECT c_mktsegment, wave, printf('r(%.0f) = %.2f [%.2f; %.2f]', df, r, lo, hi) || ', ' || " + P_TEXT_SQL + " AS report FROM (" + finish_corr(
+    f"SELECT {corr_test('avg_price', 'c_acctbal', 'avg_price', 'c_acctbal', ['c_mktsegment', 'wave'])} FROM panel GROUP BY c_mktsegment, wave", ["c_mktsegment", "wave"]) + ")")
+def _(t):
+    tests = rounded(corr.correlation_test(t.panel, [("avg_price", "c_acctbal")], ["c_mktsegment", "wave"]))
+    return tests.select("c_mktsegment", "wave", labels.report_r("r", "df", "p", "lo", "hi").alias("report"))
+
+
+@query("x24_report_f", f"""
+    SELECT term, part, printf('F(%.2f, %.2f) = %.2f', df1, df2, f) || ', ' || {P_TEXT_SQL} || ', ' || printf('ges = %.3f', ges) AS report FROM ({_rm_sql()})""")
+def _(t):
+    out = rm_anova.rm_ancova(_rm_frame(t), ["y0", "y1", "y2"], {"sex": ["f", "m"], "bal": None})
+    tests = rounded(out.drop("reason"), 6, **RM_DIGITS)
+    return tests.select("term", "part", labels.report_f("f", "df1", "df2", "p", "ges").alias("report"))
