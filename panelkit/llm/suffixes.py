@@ -34,29 +34,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stored import release, stored
-from .words import mix, powers, prefix_sums
+from .words import STEP, mix
 
 LENGTH, GRAM = 100, 32
 
 
 class Text:
-    """Fingerprints of the strings of one text."""
+    """Fingerprints of the strings of one text.
+
+    Those of strings of 2^k bytes are made of two of half the length, up from eight bytes
+    that are taken as they are; another length is covered by two strings that overlap.
+    """
 
     def __init__(self, data: bytes):
         self.n = len(data)
-        self.sums = prefix_sums(np.frombuffer(data, np.uint8))
-        self.down = powers(self.n + 1)[1]
+        self.data = np.frombuffer(data, np.uint8)
+        self.held: dict[int, np.ndarray] = {}
+
+    def level(self, k: int) -> np.ndarray:
+        """Of the strings of 2^k bytes at every place."""
+        below = max((j for j in self.held if j <= k), default=None)
+        if below is None:
+            below = min(k, 3)
+            value = self.data.astype(np.uint64)
+            for j in range(below):
+                value = value[:-(1 << j)] | value[1 << j:] << np.uint64(8 << j)
+            value = mix(value ^ STEP)
+        else:
+            value = self.held[below]
+        for j in range(below, k):
+            value = value[:-(1 << j)] * STEP + value[1 << j:]
+            value ^= value >> np.uint64(32)
+        self.held[k] = value
+        return value
 
     def ranks(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        value = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(value ^ mix((ends - starts).astype(np.uint64)))
+        sizes = ends - starts
+        out = sizes.astype(np.uint64) * STEP
+        levels = np.frexp(sizes.astype(np.float64))[1] - 1
+        for k in np.unique(levels).tolist():
+            own, of = levels == k, self.level(k)
+            out[own] += mix(of[starts[own]]) ^ of[ends[own] - (1 << k)]
+        return mix(out)
 
     def runs(self, length: int, gram: int):
         """Anchor, first and last window of each run."""
-        count = self.n - gram + 1
-        at = np.arange(count, dtype=np.uint64)
-        raw = (self.sums[gram:] - self.sums[:count]) * self.down[:count]
-        least = (mix(raw) & np.uint64(0xFFFFFFFF00000000)) | at
+        k = gram.bit_length() - 1
+        value = self.level(k)
+        if gram > 1 << k:
+            value = value[:-(gram - (1 << k))] * STEP ^ value[gram - (1 << k):]
+        least = (mix(value) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(value), dtype=np.uint64)
         wide, have = length - gram + 1, 1
         while have * 2 <= wide:
             least, have = np.minimum(least[:-have], least[have:]), have * 2
@@ -213,7 +240,7 @@ def _second_round(windows: DataFrame, length: int) -> DataFrame:
         if held:
             yield out(held)
 
-    return windows.repartition("a").sortWithinPartitions("a", "b", "doc", "place").mapInArrow(run, "doc long, first long, last long")
+    return windows.repartition("a", "b").sortWithinPartitions("a", "b", "doc", "place").mapInArrow(run, "doc long, first long, last long")
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
