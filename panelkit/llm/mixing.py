@@ -146,15 +146,27 @@ def _few(df: DataFrame, rows: int = 20_000) -> bool:
 
 
 def mixed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
-               seed: str = "mix", rows_sent: int = 400_000, **options) -> DataFrame:
+               seed: str = "mix", rows_sent: int = 400_000, shard_tokens: int = 1_000_000, **options) -> DataFrame:
     """The rows of the mix, with all their columns: a row stays as often as its tokens are
-    taken. Whole passes are whole copies; a part of a pass is one more copy with that
-    chance, by a keyed hash of the id, so sizes of sources are met on average."""
+    taken. Whole passes are whole copies. Parts of a pass become copies by rounding their
+    running sum over the documents of a shard in order of size, so that each shard (a source
+    of up to ``shard_tokens`` words has one) meets its tokens within its largest document.
+    Rows of one id, source and size count as one document. Null texts, and texts without
+    words, are not in the mix; an empty table gives an empty mix."""
     columns = docs.columns
-    taken = mix_sizes(sized(docs, id, text, source), seed=seed, **options).where("size > 0").groupBy("id", "source", "size").agg(
-        (F.sum("taken") / F.count(F.lit(1)) / F.col("size")).alias("times"))
-    lot = _hash01(F.lit(f"{seed}-copy"), F.coalesce(F.col("id").cast("string"), F.lit(""))) / 2.0**48
-    copies = taken.select("id", "source", "size", (F.floor("times") + (F.col("times") - F.floor("times") > lot).cast("long")).alias("copies")).where("copies > 0")
+    taken = mix_sizes(sized(docs, id, text, source), seed=seed, shard_tokens=shard_tokens, **options).where("size > 0").groupBy(
+        "id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"), F.max("source_size").alias("source_size"))
+    key = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    times = F.col("taken") / F.col("n") / F.col("size")
+    shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / shard_tokens))).cast("long")
+    # Billionths, so that sums do not depend on their order.
+    split = taken.withColumns({"whole": F.floor(times), "part": F.round((times - F.floor(times)) * 1e9).cast("long"),
+                               "shard": _hash01(F.lit(f"{seed}-copy-shard"), key) % shards})
+    by_size = Window.partitionBy("source", "shard").orderBy(
+        F.col("n") * F.col("size"), _hash01(F.lit(f"{seed}-copy"), key), F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nearest = lambda x: F.floor((x + 500_000_000) / 1_000_000_000)
+    copies = split.withColumn("sum", F.sum("part").over(by_size)).select(
+        "id", "source", "size", (F.col("whole") + nearest(F.col("sum")) - nearest(F.col("sum") - F.col("part"))).alias("copies")).where("copies > 0")
     copies = cut(copies)
     few = F.broadcast(copies) if _few(copies, rows_sent) else copies
     rows = docs.toDF(*[f"c{i}" for i in range(len(columns))])

@@ -45,19 +45,22 @@ SYLLABLES = {
     "greek": ("βα γε δι ζο θα κε λι μα νε πο ρα σε τι φα".split(), {"m": ["ος", "ης", "ας"], "f": ["α", "η", "ια"], "n": ["ου", "ις", "ω"]}),
 }
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
-_NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]*"
+_CAPITAL = "[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]"
+# An apostrophe joins two parts of a name, but for a possessive s.
+_NAME = _CAPITAL + r"[^\W\d_]*(?:['’](?!S\b)" + _CAPITAL + r"[^\W\d_]*)?"
 _SEP = r"[^\w+(]{0,6}"
 # Keys by their prefix, or long runs of letters of both cases and digits.
 _PREFIX = r"(?:AKIA|ASIA|AIza|(?:sk|pk|rk)[-_](?:live_|test_|proj-|ant-)?|gh[opsur]_|github_pat_|glpat-|xox[abprs]-)"
 _KEY = (r"(?<![\w+/=.-])(?:" + _PREFIX + r"[A-Za-z0-9_-]{16,}|(?=[A-Za-z0-9+/_-]*\d)(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])"
         r"[A-Za-z0-9+/_-]{24,}={0,2})(?![\w+/=-])")
-_ASSIGNED = r"(?<![A-Za-z])(?i:(?:api)?key|token|secret|password|passwd|pwd)[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
-_IP6 = r"[0-9A-Fa-f:]*(?:::|(?::[0-9A-Fa-f]{1,4}){7})[0-9A-Fa-f:]*"
+_ASSIGNED = r"(?<![A-Za-z])(?P<word>(?i:(?:api)?key|token|secret|password|passwd|pwd))[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
+# One look ahead and one run without a way back, so that time is linear.
+_IP6 = r"(?=[0-9A-Fa-f:]*?(?:::|(?::[0-9A-Fa-f]{1,4}){7}))[0-9A-Fa-f:]*+"
 PATTERN = re.compile("|".join((
     r"(?P<secret>(?<![0-9A-Za-z])(?=[0-9A-Za-z]*\d)(?=[0-9A-Za-z]*[A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Za-z]))",
     r"(?P<mail>(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)",
     r"(?P<key>" + _KEY + r")",
-    r"(?P<assigned>" + _ASSIGNED + r"(?![0-9A-Fa-f]{32,}(?![0-9A-Za-z]))(?![^\s\"']*@)(?=[^\s\"'<>,;]*\d)(?=[^\s\"'<>,;]*[A-Za-z])(?P<value>[^\s\"'<>,;]{8,}))",
+    r"(?P<assigned>" + _ASSIGNED + r"(?![0-9A-Fa-f]{32,}(?![0-9A-Za-z]))(?=[^\s\"'<>,;]{8}))",
     r"(?P<ip6>(?<![\w:.])" + _IP6 + r"(?![\w:]|\.\d))",
     r"(?P<phone>(?<![\w+])(?:\+1" + _SEP + r"\(?\d{3}\)?" + _SEP + r"\d{3}[ .-]?\d{4}|\+\d(?:[ ().\-/]{0,3}\d){7,14}"
     r"|\+\d{1,3}" + _SEP + r"\(?\d{2,4}\)?" + _SEP + r"\d{3}[ .-]?\d{3,4})(?!\d))",
@@ -76,6 +79,39 @@ LEAST_ENTROPY = 3.5  # bits a character of a key without a known prefix
 _TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
+class Ahead:
+    """The next place of a pattern in a text, for places asked in order: one pass in all."""
+
+    def __init__(self, text: str, pattern: str):
+        self.text, self.search, self.at = text, re.compile(pattern).search, -1
+
+    def __call__(self, start: int) -> int:
+        if self.at < start:
+            m = self.search(self.text, start)
+            self.at = m.start() if m else len(self.text)
+        return self.at
+
+
+def _found(text: str) -> Iterator[tuple[re.Match, int]]:
+    """Matches of the patterns, each with its end. A value assigned to a key has a digit, a
+    letter, and no @ before the next space or quote; this is looked up here, since a pattern
+    would read the rest of the text again at each key."""
+    ends, quote, digit, letter, at_sign = (Ahead(text, p) for p in (r"[\s\"'<>,;]", r"[\s\"']", r"\d", r"[A-Za-z]", "@"))
+    start = 0
+    while m := PATTERN.search(text, start):
+        start = end = m.end()
+        if m.lastgroup == "assigned":
+            end = ends(start)
+            if digit(m.end()) >= end or letter(m.end()) >= end or at_sign(m.end()) < quote(m.end()):
+                # Nothing starts inside the word that announces a value.
+                start = m.end("word")
+                continue
+            start = end
+        elif m.end() == m.start():
+            start += 1
+        yield m, end
+
+
 def MAYBE(text: str) -> bool:
     """Whether a text can hold an entity: true for each that does, and quick."""
     return bool(_MAYBE(text) or (":" in text or "=" in text) and _MAYBE_COLON(text))
@@ -112,11 +148,16 @@ def luhn(digits: str) -> int:
     return total
 
 
+def remainder(account: str) -> int:
+    """By 97, of an account number with its country behind; 1 for a valid one."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
 def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of each entity; names give one for each word."""
     if not text or not MAYBE(text):
         return
-    for m in PATTERN.finditer(text):
+    for m, stop in _found(text):
         kind, found = m.lastgroup, m[0]
         if m["who"] is not None:
             at, words = m.start("who"), list(re.finditer(r"[^\W\d_]+", m["who"]))
@@ -134,8 +175,8 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
             if re.match(_PREFIX, found) or entropy(found) >= LEAST_ENTROPY:
                 yield m.start(), m.end(), "key", found
         elif kind == "assigned":
-            value = m["value"].rstrip(".)]}#$")
-            yield m.start("value"), m.start("value") + len(value), "key", value
+            value = text[m.end():stop].rstrip(".)]}#$")
+            yield m.end(), m.end() + len(value), "key", value
         elif kind == "ip6":
             end = m.end() - (found.endswith(":") and not found.endswith("::"))
             try:
@@ -213,7 +254,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "account":
-        return entity[:2] + "".join(_like(c, s) for c in entity[2:])
+        body = "".join(_like(c, s) for c in entity[2:])
+        # A valid number stays one.
+        return entity[:2] + (f"{98 - remainder(entity[:2] + '00' + body[2:]):02d}" if remainder(entity) == 1 else body[:2]) + body[2:]
     if kind == "number:valid":
         body = str(1 + s.below(9)) + "".join(str(s.below(10)) for _ in entity[2:])
         return body + str(-luhn(body + "0") % 10)
@@ -286,20 +329,25 @@ def later_attempts(found: DataFrame, key: bytes) -> DataFrame:
 
 def settled(found: DataFrame, draw: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """kind, entity, attempt of the entities that lose their first draw: rounds of drawing
-    until all surrogates differ from each other and from all entities."""
+    until all surrogates differ from each other and from all entities. Phones and other
+    numbers are one family, in which digits must differ."""
     waiting, taken, late = found.withColumn("attempt", F.lit(0)), None, None
+    family = F.when(F.col("kind").isin("phone", "number", "number:valid"), "digits").otherwise(F.col("kind")).alias("family")
+    digits = F.when(F.col("kind") == "phone", F.substring_index("entity", ":", -1)).otherwise(F.col("entity")).alias("new")
+    real_ones = found.select(family, digits).distinct()
     while True:
         drawn = stored(draw(waiting), "drawn")
-        real = drawn.join(found.select("kind", F.col("entity").alias("new")), ["kind", "new"], "left_semi").select("kind", "new").distinct()
-        best = drawn.groupBy("kind", "new").agg(F.min("entity").alias("entity")).join(real, ["kind", "new"], "left_anti")
+        named = drawn.select("*", family)
+        best = named.groupBy("family", "new").agg(F.min(F.struct("entity", "kind")).alias("first")).join(real_ones, ["family", "new"], "left_anti")
         if taken is not None:
-            best = best.join(taken, ["kind", "new"], "left_anti")
+            best = best.join(taken, ["family", "new"], "left_anti")
+        best = best.select("family", "first.kind", "new", "first.entity")
         won = stored(best, "won")
         if late is None:
-            late, taken = drawn.limit(0).select("kind", "entity", "attempt"), won.select("kind", "new")
+            late, taken = drawn.limit(0).select("kind", "entity", "attempt"), won.select("family", "new")
         else:
             own = drawn.join(won, ["kind", "new", "entity"], "left_semi").select("kind", "entity", "attempt")
-            late, taken = late.unionByName(own), taken.union(won.select("kind", "new"))
+            late, taken = late.unionByName(own), taken.union(won.select("family", "new"))
         waiting = drawn.join(won, ["kind", "new", "entity"], "left_anti").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
         if waiting.limit(1).count() == 0:
             return stored(late, "late")
