@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import days_between
 from ..functions.labels import label
+from ..session import small_side
+from .keys import running_number
 
 
 def to_long(
@@ -56,6 +58,25 @@ def one_hot(df: DataFrame, col: str, values: Sequence | None = None) -> DataFram
     return df.withColumns(flags).drop(col)
 
 
+def number_levels(df: DataFrame, col: str) -> DataFrame:
+    """``col``, ``at``: the levels of a category numbered from 0 in sorted order, missing
+    last. They are numbered in range-partitioned pieces and never come to the driver."""
+    found = df.select(col).distinct()
+    order = [F.col(col).isNull(), F.col(col)]
+    return running_number(found, [], order, "_rn").select(col, (F.col("_rn") - 1).cast("int").alias("at"))
+
+
+def one_hot_sparse(df: DataFrame, col: str, to: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The category as a sparse vector (``size``, ``indices``, ``values``), for any number of
+    levels, and the numbered levels. Missing is a level; other columns stay."""
+    levels_of = small_side(number_levels(df, col).select(F.col(col).alias("_level"), "at"))
+    size = levels_of.select(F.count(F.lit(1)).cast("int")).scalar()
+    vector = F.struct(size.alias("size"), F.array("_at").alias("indices"), F.array(F.lit(1.0)).alias("values"))
+    rows = df.join(levels_of.withColumnRenamed("at", "_at"), F.col(col).eqNullSafe(F.col("_level")), "left")
+    kept = [c for c in df.columns if c not in (col, to)]
+    return rows.select(*kept, vector.alias(to or col)), levels_of.withColumnRenamed("_level", col)
+
+
 def waves_to_long(
     df: DataFrame, ids: Sequence[str], stem: str, waves: Mapping[int, str],
     wave_name: str = "time", label_name: str = "phase", unknown: str = "Error",

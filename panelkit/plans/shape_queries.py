@@ -43,6 +43,14 @@ def _(t):
     return reshape.one_hot(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus")
 
 
+@query("r4_one_hot_sparse", """
+    SELECT o_orderkey, (SELECT count(DISTINCT o_custkey) FROM orders)::INT AS size, (dense_rank() OVER (ORDER BY o_custkey) - 1)::INT AS at, 1.0::DOUBLE AS value
+    FROM orders""")
+def _(t):
+    rows, _ = reshape.one_hot_sparse(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", "v")
+    return rows.select("o_orderkey", "v.size", F.col("v.indices")[0].alias("at"), F.col("v.values")[0].alias("value"))
+
+
 @query("r4_one_hot_with_missing", """
     SELECT l_orderkey, l_linenumber, l_partkey, CAST(coalesce(f1 = 1, false) AS INT) AS f1_1, CAST(coalesce(f1 = 2, false) AS INT) AS f1_2,
            CAST(f1 IS NULL AS INT) AS f1_NA FROM answers""")

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..operators import linkage
 from ..session import load, scratch_path
-from ..sources import readers, writers
+from ..sources import quoted, readers, writers
 from .join_queries import LINK_SQL, _sides
 from .panel import CODE_PARTS
 from .registry import query
@@ -49,6 +49,13 @@ def _(t):
     return readers.read_decimal_comma_csv(t.spark, path, TEXTS, escaped=True)
 
 
+@query("s1_quoted_line_breaks", TEXTS_SQL)
+def _(t):
+    path = scratch_path(t.spark, "quoted")
+    writers.write_quoted(_texts(t), path)
+    return quoted.read_quoted(t.spark, path, TEXTS)[0]
+
+
 @query("s2_texts_utf16_tsv", TEXTS_SQL)
 def _(t):
     path = scratch_path(t.spark, "texts-utf16")
@@ -84,6 +91,17 @@ def _(t):
     return readers.decode_labels(t.customer.select("c_custkey", "c_nationkey"), book, "c_nationkey", "nation").select("c_custkey", "nation")
 
 
+@query("s4_decode_all_columns", """
+    SELECT c_custkey, n_name AS c_nationkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'segment ' || c_mktsegment END AS c_mktsegment
+    FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def _(t):
+    nations = t.nation.select(F.lit("c_nationkey").alias("variable"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("label"))
+    segments = t.customer.where("c_mktsegment <> 'BUILDING'").select(
+        F.lit("c_mktsegment").alias("variable"), F.col("c_mktsegment").alias("code"), F.concat(F.lit("segment "), "c_mktsegment").alias("label")).distinct()
+    rows = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    return readers.decode_columns(rows, nations.unionByName(segments), ["c_nationkey", "c_mktsegment"])[0]
+
+
 @query("s5_raw_codes", "SELECT c_custkey, c_nationkey FROM customer")
 def _(t):
     return readers.read_codes(t.spark, f"{t.sf_dir}/customer.parquet", ["c_custkey", "c_nationkey"])

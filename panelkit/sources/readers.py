@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import small_side
 
+CODES_HELD = 20_000  # of all columns, in one dictionary inside the plan
+CODES_SEARCHED = 256  # of one column; beyond them its labels are joined
+
 
 # Quotes in text are doubled, so a backslash is an ordinary character.
 QUOTING = {"escape": '"'}
@@ -90,6 +93,48 @@ def decode_labels(
     return df.join(book, same, "left").withColumn(to or column, F.col("_label")).drop("_code", "_label")
 
 
+def decode_columns(df: DataFrame, codebook: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """Replace the codes of many columns by their labels in one projection, without joins.
+
+    ``codebook`` as in :func:`decode_labels`; a code listed twice for a column is an error.
+    Unlisted codes give NULL, and the observation counts them per column in the pass that
+    an action on the rows makes. Columns with more than ``CODES_SEARCHED`` codes, and all
+    if the codebook has more than ``CODES_HELD``, are joined instead, with the same result.
+    """
+    kinds = dict(df.dtypes)
+    book = codebook.where(F.col("variable").isin(list(columns))).select(
+        "variable", F.col("code").cast("string").alias("code"), "label").where("code IS NOT NULL")
+    again = book.groupBy("variable", "code").count().where("count > 1").first()
+    if again:
+        raise ValueError(f"code {again.code} is listed {again['count']} times for {again.variable}")
+    sizes = {r.variable: r["count"] for r in book.groupBy("variable").count().collect()}  # one row a column
+    held = [c for c in columns if 0 < sizes.get(c, 0) <= CODES_SEARCHED]
+    if sum(sizes[c] for c in held) > CODES_HELD:
+        held = []
+    entries: dict[str, list] = {c: [] for c in held}
+    for r in book.where(F.col("variable").isin(held)).collect() if held else []:  # at most CODES_HELD
+        entries[r.variable] += [F.lit(r.code), F.lit(r.label)]
+    out, unlisted = {}, []
+    for c in columns:
+        code = F.col(c) if kinds[c] == "string" else F.col(c).cast("string")
+        if c in held:
+            labels = F.create_map(*entries[c])
+            out[c] = F.element_at(labels, code)
+            unlisted.append(F.count_if(F.col(c).isNotNull() & ~F.map_contains_key(labels, code)).alias(c))
+        elif not sizes.get(c):
+            out[c] = F.lit(None).cast("string")
+            unlisted.append(F.count(c).alias(c))
+    joined = df
+    for c in columns:
+        if c not in out:
+            side = small_side(book.where(F.col("variable") == c).select(F.col("code").alias(f"_code_{c}"), F.col("label").alias(f"_label_{c}")))
+            joined = joined.join(side, F.col(c).cast("string") == F.col(f"_code_{c}"), "left")
+            unlisted.append(F.count_if(F.col(c).isNotNull() & F.col(f"_code_{c}").isNull()).alias(c))
+            out[c] = F.col(f"_label_{c}")
+    seen = Observation("unlisted codes")
+    return joined.observe(seen, *unlisted).select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns]), seen
+
+
 DECISIONS = T.StructType([
     T.StructField("new", T.StringType()), T.StructField("old", T.StringType()),
     T.StructField("concordance", T.IntegerType()), T.StructField("comment", T.StringType()),

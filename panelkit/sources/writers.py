@@ -29,6 +29,12 @@ def write_decimal_comma_csv(df: DataFrame, path: str, missing: str = "") -> None
     out.write.options(header=True, sep=";", nullValue=missing, emptyValue='""', **QUOTING).csv(path)
 
 
+def write_quoted(df: DataFrame, path: str, sep: str = ";") -> None:
+    """Delimited text as other programs write it: line breaks stay inside quotes. Read it
+    with :func:`panelkit.sources.quoted.read_quoted`."""
+    df.write.options(header=True, sep=sep, quoteAll=True, lineSep="\n", **QUOTING).csv(path)
+
+
 def write_tsv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     writer = escaped(df).write.options(header=True, sep="\t", encoding=encoding, **QUOTING)
     if encoding.upper().startswith("UTF-16"):
