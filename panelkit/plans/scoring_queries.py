@@ -122,6 +122,23 @@ def _(t):
     return groups.frequency(t.items.select(diff.alias("diff")), "diff")
 
 
+# Parts counted in the text against the stored number of characters; a part that did not
+# occur is missing, and so is the row's sum.
+@query("q12_stored_total", """
+    SELECT diff, count(*) AS n FROM (
+        SELECT length(regexp_replace(text, '[^a-z]', '', 'g')) + nullif(length(regexp_replace(text, '[^0-9]', '', 'g')), 0)
+               + length(regexp_replace(text, '[a-z0-9]', '', 'g')) - n_chars AS diff FROM documents)
+    GROUP BY diff""")
+def _(t):
+    def size(without):
+        return F.length(F.regexp_replace("text", without, "")).cast("bigint")
+
+    parts = t.documents.select("n_chars", size("[^a-z]").alias("letters"), F.nullif(size("[^0-9]"), F.lit(0)).alias("digits"),
+                               size("[a-z0-9]").alias("others"))
+    diff = missing.strict_sum(["letters", "digits", "others"]) - F.col("n_chars")
+    return groups.frequency(parts.select(diff.cast("bigint").alias("diff")), "diff", with_missing=True)
+
+
 @query("q13_severest_flag", f"""
     SELECT {ID_SQL}, CASE WHEN f4 IS NULL THEN NULL WHEN f4 = 2 THEN 4 WHEN f3 IS NULL THEN NULL WHEN f3 = 2 THEN 3
            WHEN f2 IS NULL THEN NULL WHEN f2 = 2 THEN 2 WHEN f1 IS NULL THEN NULL WHEN f1 = 2 THEN 1 ELSE 0 END AS infection FROM answers""")
