@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NON_ALNUM
-from ..session import cut, spread
+from ..session import cut, shuffled, spread
 from .keys import running_number
 
 COMMENT_AUTO = "auto match"
@@ -76,7 +76,7 @@ def best_candidates(
             )
             for k in group
         ]
-        hits = _combination_rows(left, ["new"], parts, group).join(counts, "combo")
+        hits = _combination_rows(left, ["new"], parts, group).join(shuffled(counts), "combo")
         best = cut(
             hits.groupBy("new")
             .agg(F.filter(F.array(*per_size), lambda s: s.getField("n").isNotNull())[0].alias("b"))
@@ -84,7 +84,7 @@ def best_candidates(
                     F.col("b.old").alias("old"))
         )
         found.append(best)
-        left = left.join(best, "new", "left_anti")
+        left = left.join(shuffled(best), "new", "left_anti")
     out = left.select(
         "new", F.lit(0).alias("concordance"), F.lit(0).cast("bigint").alias("n_candidates"),
         F.lit(None).cast("string").alias("old"),

@@ -126,6 +126,12 @@ def fits(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
     return measured(df) <= most_bytes
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Mark a join side that grows with the input. Estimates of Spark do not count the rows
+    of an explode and take Parquet's packed bytes, so it would broadcast millions of rows."""
+    return df.hint("merge")
+
+
 def small_side(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Materialise a join side and mark it for broadcast if it is small.
 
