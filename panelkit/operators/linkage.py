@@ -116,13 +116,13 @@ def review_lists(
     number of sets of parts; a combination shared by a third of all codes is stored once.
     Candidates are in order of the parts that agree (the set as a number), then of ``old``.
     """
-    left = _as_text(new, key, parts, "new").join(best.select("new", "concordance"), "new")
+    left = _as_text(new, key, parts, "new").join(shuffled(best.select("new", "concordance")), "new")
     sizes = range(len(parts), 0, -1)
     wanted = _combination_rows(left, ["new", "concordance"], parts, sizes).where(F.col("k") == F.col("concordance")).drop("k")
     shared = _combination_rows(_as_text(old, key, parts, "old"), ["old"], parts, sizes).select("combo", "old")
     named = wanted.select("combo").distinct()
-    members = cut(running_number(cut(shared.join(named, "combo", "left_semi")), ["combo"], ["old"], "place"))
-    counted = wanted.join(members.groupBy("combo").agg(F.count(F.lit(1)).alias("n")), "combo")
+    members = cut(running_number(cut(shared.join(shuffled(named), "combo", "left_semi")), ["combo"], ["old"], "place"))
+    counted = wanted.join(shuffled(members.groupBy("combo").agg(F.count(F.lit(1)).alias("n"))), "combo")
     # A code has at most as many rows here as there are sets of one size.
     earlier = Window.partitionBy("new").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
     lists = counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
@@ -131,7 +131,7 @@ def review_lists(
 
 def expand(lists: DataFrame, members: DataFrame) -> DataFrame:
     """Every (new, old) pair of factorised lists, with its concordance."""
-    return lists.select("new", "concordance", "combo").join(members.select("combo", "old"), "combo").drop("combo")
+    return lists.select("new", "concordance", "combo").join(shuffled(members.select("combo", "old")), "combo").drop("combo")
 
 
 def candidates_at(lists: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:

@@ -45,3 +45,12 @@ def test_counts_of_combinations(sides, plans):
     assert out.count() == 20
     joins = [p for p in [*plans, plan(out)] if "Join" in p]
     assert joins and not any("Broadcast" in p for p in joins)
+
+
+def test_candidate_pairs(sides, plans):
+    best = cut(linkage.best_candidates(*sides, "code", PARTS))
+    del plans[:]
+    pairs = linkage.candidate_pairs(*sides, "code", PARTS, best)
+    assert pairs.count() >= 20
+    joins = [p for p in [*plans, plan(pairs)] if "Join" in p]
+    assert joins and not any("Broadcast" in p for p in joins)
