@@ -137,9 +137,9 @@ def expand(lists: DataFrame, members: DataFrame) -> DataFrame:
 def candidates_at(lists: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
     """The ``nth`` candidate (from 1) of each asked ``new``; numbers past the end give no row.
     Each request meets one combination and one member of it."""
-    held = asked.select("new", "nth").join(lists, "new").where((F.col("nth") > F.col("before")) & (F.col("nth") <= F.col("before") + F.col("n")))
+    held = asked.select("new", "nth").join(shuffled(lists), "new").where((F.col("nth") > F.col("before")) & (F.col("nth") <= F.col("before") + F.col("n")))
     place = held.select("new", "concordance", "nth", "combo", (F.col("nth") - F.col("before")).alias("place"))
-    return place.join(members, ["combo", "place"]).select("new", "concordance", "nth", "old")
+    return place.join(shuffled(members), ["combo", "place"]).select("new", "concordance", "nth", "old")
 
 
 def candidate_pairs(
@@ -155,7 +155,7 @@ def exact_links(new: DataFrame, old: DataFrame, key: str) -> tuple[DataFrame, Da
     split into those found among the old and those not found."""
     once = new.groupBy(key).count().where((F.col("count") == 1) & F.col(key).isNotNull()).select(key)
     counted = old.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    looked = once.join(counted, key, "left").where(F.coalesce("_n", F.lit(0)) <= 1)
+    looked = once.join(shuffled(counted), key, "left").where(F.coalesce("_n", F.lit(0)) <= 1)
     return (
         looked.where(F.col("_n").isNotNull()).select(key),
         looked.where(F.col("_n").isNull()).select(key),
@@ -192,9 +192,9 @@ def apply_decisions(
     key, and take out old records found to be invalid."""
     # Of several decisions on a key the least old key holds, so reruns agree.
     swap = accepted_decisions(decisions).groupBy(F.col("new").alias(key)).agg(F.min("old").alias("_old"))
-    replaced = new.join(swap, key, "left").withColumn(
+    replaced = new.join(shuffled(swap), key, "left").withColumn(
         key, F.coalesce("_old", key)
     ).drop("_old").select(*new.columns)
     bad = invalid_duplicates(decisions).select(F.col("invalid").cast(old.schema[row_id].dataType).alias(row_id))
-    kept = old.join(bad.where(F.col(row_id).isNotNull()).distinct(), row_id, "left_anti").select(*old.columns)
+    kept = old.join(shuffled(bad.where(F.col(row_id).isNotNull()).distinct()), row_id, "left_anti").select(*old.columns)
     return replaced, kept

@@ -54,3 +54,11 @@ def test_candidate_pairs(sides, plans):
     assert pairs.count() >= 20
     joins = [p for p in [*plans, plan(pairs)] if "Join" in p]
     assert joins and not any("Broadcast" in p for p in joins)
+
+
+def test_pages(spark, sides):
+    best = cut(linkage.best_candidates(*sides, "code", PARTS))
+    lists, members = map(cut, linkage.review_lists(*sides, "code", PARTS, best))
+    page = linkage.candidates_at(lists, members, best.selectExpr("new", "1 AS nth"))
+    assert page.count() == 20
+    assert "Broadcast" not in plan(page)
