@@ -17,7 +17,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, fits
+from ..session import cut, fits, shuffled
 from .linkage import _combination_rows, accepted_decisions, invalid_duplicates
 
 
@@ -34,8 +34,8 @@ class Links:
 
     def candidates(self) -> DataFrame:
         """new, concordance, n_candidates and old, where there is one candidate."""
-        single = self.best.where("n_candidates = 1").select("new", F.col("who").alias("no")).join(self.old.select("no", "old"), "no")
-        return self.best.drop("who").join(single.select("new", "old"), "new", "left")
+        single = self.best.where("n_candidates = 1").select("new", F.col("who").alias("no")).join(shuffled(self.old.select("no", "old")), "no")
+        return self.best.drop("who").join(shuffled(single.select("new", "old")), "new", "left")
 
 
 def _sizes(parts: Sequence[str]) -> range:
@@ -49,11 +49,11 @@ def _best(new: DataFrame, counts: Sequence[DataFrame], parts: Sequence[str]) ->
     every = counts[0]
     for delta in counts[1:]:
         every = every.unionByName(delta)
-    here = every.join(named, "combo", "left_semi").groupBy("combo").agg(F.sum("n").alias("n"), F.bit_xor("who").alias("who")).where("n > 0")
+    here = every.join(shuffled(named), "combo", "left_semi").groupBy("combo").agg(F.sum("n").alias("n"), F.bit_xor("who").alias("who")).where("n > 0")
     # Old rows that agree on no more than k parts share one combination of k with the code each.
-    sized = wanted.join(here, "combo").groupBy("new", "k").agg(F.sum("n").alias("n"), F.bit_xor("who").alias("who"))
+    sized = wanted.join(shuffled(here), "combo").groupBy("new", "k").agg(F.sum("n").alias("n"), F.bit_xor("who").alias("who"))
     top = sized.groupBy("new").agg(F.max(F.struct("k", "n", "who")).alias("b"))
-    return new.select("new").join(top, "new", "left").select(
+    return new.select("new").join(shuffled(top), "new", "left").select(
         "new", F.coalesce("b.k", F.lit(0)).alias("concordance"), F.coalesce("b.n", F.lit(0)).cast("bigint").alias("n_candidates"), F.col("b.who").alias("who"))
 
 
@@ -69,9 +69,9 @@ def start(new: DataFrame, old: DataFrame, key: str, row_id: str, parts: Sequence
 
 def touched_codes(links: Links, delta: DataFrame) -> DataFrame:
     """Open codes with a changed combination of at least their present concordance."""
-    changed = F.broadcast(delta.select("combo")) if fits(delta) else delta.select("combo")
+    changed = F.broadcast(delta.select("combo")) if fits(delta) else shuffled(delta.select("combo"))
     rows = _combination_rows(links.new, ["new"], links.parts, _sizes(links.parts)).select("new", "k", "combo")
-    return rows.join(changed, "combo", "left_semi").join(links.best.select("new", "concordance"), "new").where(
+    return rows.join(changed, "combo", "left_semi").join(shuffled(links.best.select("new", "concordance")), "new").where(
         F.col("k") >= F.col("concordance")).select("new").distinct()
 
 
@@ -84,13 +84,13 @@ def after(links: Links, settled: DataFrame | None = None, dropped: DataFrame | N
     for part in (dropped, corrected):
         if part is not None:
             leave = leave.unionByName(part.select(F.col("no").cast("bigint").alias("no")))
-    leaving = cut(old.join(leave.distinct(), "no", "left_semi"))
+    leaving = cut(old.join(shuffled(leave.distinct()), "no", "left_semi"))
     entering = leaving.limit(0)
     if corrected is not None:
         texts = [F.col(p).cast("string").alias(p) for p in parts]
-        entering = corrected.select(F.col("no").cast("bigint").alias("no"), "old", *texts).join(leaving.select("no"), "no", "left_semi")
+        entering = corrected.select(F.col("no").cast("bigint").alias("no"), "old", *texts).join(shuffled(leaving.select("no")), "no", "left_semi")
         if dropped is not None:
-            entering = entering.join(dropped.select(F.col("no").cast("bigint").alias("no")), "no", "left_anti")
+            entering = entering.join(shuffled(dropped.select(F.col("no").cast("bigint").alias("no"))), "no", "left_anti")
         entering = cut(entering)
     signed = leaving.withColumn("sign", F.lit(-1)).unionByName(entering.withColumn("sign", F.lit(1)))
     delta = cut(_combination_rows(signed, ["no", "sign"], parts, _sizes(parts)).groupBy("combo").agg(
@@ -98,13 +98,13 @@ def after(links: Links, settled: DataFrame | None = None, dropped: DataFrame | N
     new, best = links.new, links.best
     if settled is not None:
         gone = settled.select("new").distinct()
-        new, best = cut(new.join(gone, "new", "left_anti")), best.join(gone, "new", "left_anti")
+        new, best = cut(new.join(shuffled(gone), "new", "left_anti")), best.join(shuffled(gone), "new", "left_anti")
     counts = (*links.counts, delta)
     now = replace(links, new=new, best=best)
     touched = cut(touched_codes(now, delta))
-    again = _best(new.join(touched, "new", "left_semi"), counts, parts)
-    best = cut(best.join(touched, "new", "left_anti").unionByName(again))
-    rest = cut(old.join(leaving.select("no"), "no", "left_anti").unionByName(entering))
+    again = _best(new.join(shuffled(touched), "new", "left_semi"), counts, parts)
+    best = cut(best.join(shuffled(touched), "new", "left_anti").unionByName(again))
+    rest = cut(old.join(shuffled(leaving.select("no")), "no", "left_anti").unionByName(entering))
     return Links(parts, new, rest, counts, best)
 
 

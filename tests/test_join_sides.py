@@ -62,3 +62,15 @@ def test_pages(spark, sides):
     page = linkage.candidates_at(lists, members, best.selectExpr("new", "1 AS nth"))
     assert page.count() == 20
     assert "Broadcast" not in plan(page)
+
+
+def test_relinking(sides, plans, monkeypatch):
+    # As if no delta were small enough to be broadcast after it was measured.
+    monkeypatch.setattr(relinking, "fits", lambda df: False)
+    new, old = sides
+    links = relinking.start(new, old, "code", "row_id", PARTS)
+    links = relinking.after(links, settled=new.where("row_id = 1").selectExpr("code AS new"), dropped=old.where("row_id = 4").selectExpr("row_id AS no"))
+    out = links.candidates()
+    assert out.count() == 19
+    joins = [p for p in [*plans, plan(out)] if "Join" in p]
+    assert joins and not any("Broadcast" in p for p in joins)
