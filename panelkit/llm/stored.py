@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+# Whether Spark drops the shuffle files of a query at its end.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(df: DataFrame, label: str = "part", by: tuple[str, ...] = ()) -> DataFrame:
     """The rows of ``df`` from a table in the shared folder, in folders ``by`` columns.
-    Unlike a checkpoint it brings no inferred constraints along, which loops would pile up."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Unlike a checkpoint it brings no inferred constraints along, which loops would pile up.
+    The shuffle files of the write go with it: a collection of garbage does not drop those of
+    the step that has just ended."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

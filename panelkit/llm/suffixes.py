@@ -12,7 +12,8 @@ strings must meet:
    that was seen before are repeats. What stays open are first runs that share their
    anchor with a different run (the borders of shared passages).
 3. The windows of open runs are sorted by the pair of ranks of their two halves (offset
-   ``length`` / 2), with the anchor's rank before it; all but the first are repeats.
+   ``length`` / 2), with the anchor's rank before it; all but the first are repeats. Equal
+   windows have equal anchors, so anchors are dealt into parts that are sorted in turn.
 
 Ranks are 64-bit fingerprints of the strings, always compared in pairs with a second one.
 Sorted rows stream through tasks, so a string of any frequency needs the memory of a
@@ -37,6 +38,9 @@ from .stored import release, stored
 from .words import STEP, mix
 
 LENGTH, GRAM = 100, 32
+# The second round takes the anchors in so many parts, one after the other, as its windows
+# are the largest table of all.
+PARTS = 2
 
 
 class Text:
@@ -251,9 +255,12 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     spark = texts.sparkSession
     runs = stored(_first_round(_rows(texts, length, gram)), "runs", by=("open",))
     release(spark)
-    found = stored(_second_round(_windows(texts, runs.where("open"), length), length), "windows")
-    release(spark)
-    return runs.where("not open").select("doc", "first", "last").unionByName(found)
+    found = runs.where("not open").select("doc", "first", "last")
+    for part in range(PARTS):
+        own = runs.where(F.col("open") & (F.pmod("rank", F.lit(PARTS)) == part))
+        found = found.unionByName(stored(_second_round(_windows(texts, own, length), length), "windows"))
+        release(spark)
+    return found
 
 
 def _ordered(docs: DataFrame, id: str, text: str) -> DataFrame:
