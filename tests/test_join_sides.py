@@ -74,3 +74,11 @@ def test_relinking(sides, plans, monkeypatch):
     assert out.count() == 19
     joins = [p for p in [*plans, plan(out)] if "Join" in p]
     assert joins and not any("Broadcast" in p for p in joins)
+
+
+def test_pairs_of_written_lists(spark, sides, tmp_path):
+    best = cut(linkage.best_candidates(*sides, "code", PARTS))
+    writers.write_review_lists(*linkage.review_lists(*sides, "code", PARTS, best), str(tmp_path / "lists"))
+    pairs = linkage.expand(*readers.read_review_lists(spark, str(tmp_path / "lists")))
+    assert pairs.count() == linkage.candidate_pairs(*sides, "code", PARTS, best).count()
+    assert "Broadcast" not in plan(pairs)
