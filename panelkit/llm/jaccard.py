@@ -17,6 +17,9 @@ making large cells. Then, in every cell at once:
 * The region gets the next pivot, and so on. Regions of few members, whose bound grows
   fourfold with each round, are joined pairwise, but for pairs whose sizes or distances to the last
   pivot differ too much; so rounds are logarithmic in a cell's size.
+* Regions of one pivot become one where that halves their pairs, as near copies meet in many
+  cells. Members known to be connected are not compared, and a region that holds no others
+  is done.
 
 Equal sets are one member from the start, so copies cost nothing. A pair met in many cells
 is computed once. Joins on a hot pivot or cell are plain joins that adaptive execution
@@ -225,8 +228,32 @@ class Measure:
             "a", "b", F.coalesce("d", "low").alias("low"), "d", F.coalesce("link", F.lit(False)).alias("link")), "distances")
 
 
+def merged(regions: DataFrame) -> DataFrame:
+    """Regions of one pivot and step of sizes as one region, wherever that halves their pairs; from
+    rows cell, size, id, n, lack, pivot, pn and m (members of the region).
+
+    Near copies share many cells, with nearly the same members in each. What was compared in
+    any of the cells is compared in their union, so no pair is lost; unions of cells that have
+    little but the pivot in common would have more pairs and stay apart."""
+    each = stored(regions.groupBy("size", "pivot", "id").agg(
+        F.first("n").alias("n"), F.first("lack").alias("lack"), F.first("pn").alias("pn"), F.sum("m").alias("w")), "members")
+    joint = stored(each.groupBy("size", "pivot").agg(F.count(F.lit(1)).alias("u"), F.sum("w").alias("w")).where("2 * u * u <= w").select("size", "pivot"), "joint")
+    # Steps below 0 keep the new regions apart from cells.
+    one = each.join(joint, ["size", "pivot"]).select(
+        F.xxhash64("pivot").alias("cell"), (-1 - F.col("size")).alias("size"), "id", "n", "lack", "pivot", "pn")
+    return one.unionByName(regions.drop("m").join(joint, ["size", "pivot"], "left_anti"))
+
+
+def labelled(edges: DataFrame) -> DataFrame:
+    """id, c: a member that links reach from each id. Two steps: equal labels tell that two are
+    connected, others tell nothing; all members around one pivot get one label."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least("a", F.min("b")).alias("c"))
+    return both.join(near.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("c")).withColumnRenamed("a", "id")
+
+
 def links(docs: DataFrame, members: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the same members as all links do; from rows id, n, cells, v."""
+    """Pairs (a, b) that connect the same members as all links do; from rows id, n, cells, v."""
     r = 1 - percent / 100 + 1e-9
     measure = Measure(docs, members, id, text, k, percent)
     shared = stored(shared_cells(members.select(F.explode("cells").alias("cell"), "id", F.col("n").cast("int").alias("n"))), "cells")
@@ -241,30 +268,32 @@ def links(docs: DataFrame, members: DataFrame, id: str, text: str, k: int, perce
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100)) + 1e-9).cast("int")
     regions = ranked.select("cell", "id", "n", "lack", F.explode(F.array(step, step + 1)).alias("size"))
     first = regions.groupBy("cell", "size").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("lack", "id", "n")).alias("p")).where("m > 1")
-    left = stored(regions.join(first.select("cell", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), ["cell", "size"]), "regions")
-    found, leaf = None, LEAF
+    left = stored(merged(stored(regions.join(first.select("cell", "size", "m", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), ["cell", "size"]), "cells")), "regions")
+    found, tied, leaf = None, None, LEAF
     even = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     while True:
         others = left.where("id <> pivot")
         measured = measure(others.where(even).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         own = measured.where("link").select("a", "b")
+        # Members that links connect already need no link of their own.
         found = own if found is None else found.unionByName(own)
-        known = others.join(measured.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "low", "d", "link"), ["id", "pivot"], "left").withColumns({
-            "link": F.coalesce("link", F.lit(False)), "low": F.coalesce("low", 1 - F.least("n", "pn") / F.greatest("n", "pn"))})
+        tied = stored(labelled(found if tied is None else found.unionByName(tied.select(F.col("id").alias("a"), F.col("c").alias("b")))), "labels")
+        known = others.join(measured.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "low", "d", "link"), ["id", "pivot"], "left").join(
+            tied, "id", "left").withColumns({
+            "link": F.coalesce("link", F.lit(False)), "low": F.coalesce("low", 1 - F.least("n", "pn") / F.greatest("n", "pn")), "c": F.coalesce("c", "id")})
         region = known.groupBy("cell", "size").agg(
             F.min(F.when(~F.col("link"), F.col("low"))).alias("least"),
-            F.min(F.when(~F.col("link"), F.struct("lack", "id", "n"))).alias("next"), F.count(F.lit(1)).alias("m")).where("least is not null and m > 1")
+            F.min(F.when(~F.col("link"), F.struct("lack", "id", "n"))).alias("next")).where("least is not null")
         kept = stored(known.join(region, ["cell", "size"]).where(~F.col("link") | (F.col("d") >= F.col("least") - r))
-                      .select("cell", "size", "id", "n", "lack", "d", "link", F.col("next.id").alias("pivot"), F.col("next.n").alias("pn")), "kept")
-        sizes = stored(kept.groupBy("cell", "size").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+                      .select("cell", "size", "id", "n", "lack", "d", "c", F.col("next.id").alias("pivot"), F.col("next.n").alias("pn")), "kept")
+        sizes = stored(kept.groupBy("cell", "size").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c"), F.max("c").alias("last")).where("c < last").select("cell", "size", "m"), "sizes")
         if leaf == LEAF:
             measure.narrow(kept.join(sizes, ["cell", "size"]).select("id"))
         few = kept.join(sizes.where(F.col("m") <= leaf), ["cell", "size"])
         x, y = few.alias("x"), few.alias("y")
         near = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id"))
         may = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= r, F.lit(True))
-        # Two members linked to the same pivot need no link of their own.
-        close = x.join(y, near & may & ~(F.col("x.link") & F.col("y.link"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        close = x.join(y, near & may & (F.col("x.c") != F.col("y.c"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         found = found.unionByName(measure(close).where("link").select("a", "b"))
         left = stored(kept.join(sizes.where(F.col("m") > leaf), ["cell", "size"]).select("cell", "size", "id", "n", "lack", "pivot", "pn"), "regions")
         leaf *= 4

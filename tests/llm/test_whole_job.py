@@ -86,3 +86,27 @@ def test_formats_of_one_entity_and_of_none():
     for text in ["password: required", "monkey: a1b2c3d4e5", "at 12:30:45 std::abs", "on 01.02.2020 and 2020-01-02", "chapter 3.4.5 of 1999, 12.5",
                  "Donaudampfschifffahrtsgesellschaft", "https://example.com/Docs/2020/some-long-Path-to-it", "1,000,000 of 20 000 000"]:
         assert not entity(text), text
+
+
+def test_near_copies_that_share_many_cells_are_compared_in_few(spark, monkeypatch):
+    from panelkit.llm import jaccard
+
+    base, rows = [f"w{i}" for i in range(60)], []
+    for c in range(30):  # no two of them linked, but each has most cells of the others
+        words = list(base)
+        words[2 * c] = f"own{c}"
+        rows.append((c, " ".join(words)))
+    close = base[:59] + ["last"]
+    rows += [(30, " ".join(close)), (31, " ".join(close[:58] + ["two", "last"]))]
+    sets = {i: {tuple(w[j:j + 4]) for j in range(len(w) - 3)} for i, t in rows for w in [t.split()]}
+    want = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((want[a], want[b]))
+                want = {i: low if v == high else v for i, v in want.items()}
+    sent, plain = [], jaccard.Measure.__call__
+    monkeypatch.setattr(jaccard.Measure, "__call__", lambda self, pairs: sent.append(pairs.count()) or plain(self, pairs))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert sum(sent) < 32 * 31
