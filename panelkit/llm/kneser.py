@@ -1,18 +1,24 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, scored from files.
 
-Counting. Tasks hash the words of whole texts, count the n-grams of a bounded buffer and
-send each bucket one block of sorted arrays. A bucket is a range of the hash of an n-gram's
-first word; words so frequent that they would fill a bucket (known from the word counts,
-at most ``4 * buckets`` of them) are spread by the hash of the whole n-gram. A bucket adds
-its blocks up, writes its n-grams as sorted hashes with counts, and hands on the statistics
-of its contexts and, for the next lower order, how many words precede each shorter n-gram.
-
-Scoring. Workers map the sorted arrays into memory and look up the distinct n-grams of a
-run of texts at once; only pages that are hit are read. Where the shared folder is not a
-mounted one, arrays are read through its file system instead.
+Words. Each word gets a number, small for frequent words: its place by count in its range of
+word hashes, times the number of ranges, plus the range. Tables of words lie in files.
+
+Counting. Tasks number the words of whole texts, count the n-grams of a bounded buffer and
+send each bucket one packed block. A bucket holds all n-grams with some next-to-last words:
+n-grams of every order from 2 on, their contexts and the shorter n-grams inside them agree in
+that word, so a bucket counts all orders by itself and hands on only how many words precede
+each word. It writes its distinct n-grams once, as packed numbers. A next-to-last word so
+frequent that it would fill a bucket (known from the word counts, at most as many as there are
+buckets) is spread by the last word; its n-grams are still whole in a bucket, and its contexts,
+which are sums over last words, are added up in a table of their own.
+
+Scoring. The n-grams of the texts go to the same buckets, with their rows. A bucket reads its
+file once, looks all of them up and hands on a sum of logarithms per row. So each file is
+read by one task, whatever the number of texts.
 
 The number of buckets follows the text, so a bucket's arrays keep their size; a lost task
-writes the same files again, under a temporary name first.
+writes the same files again, under a temporary name first. Where the shared folder is not a
+mounted one, files are read through its file system instead.
 
 P_k(w | h) = max(c(hw) - D(c), 0) / c(h) + gamma(h) P_{k-1}(w | h'), c being counts at the
 highest order and numbers of distinct preceding words below; D as of Chen and Goodman, from
@@ -36,6 +42,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +50,15 @@ from ..session import scratch_path
 from .stored import release, stored
 from .words import block_words, mix, text_blocks
 
-END, BEGIN = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+END = np.uint64(0xA24BAED4963EE407)
+UNKNOWN, BEGIN, FIRST = 0, 1, 2  # numbers of no known word, of the mark before a text, of the first word
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-BUFFER = 1_500_000  # n-grams counted before blocks are sent
-CHARS_PER_BUCKET = 8_000_000
+BUFFER = 2_000_000  # n-grams counted before blocks are sent
+CHARS_PER_BUCKET = 12_000_000
+CHARS_PER_RANGE = 64_000_000  # of word hashes
+TOKENS_PER_TASK = 20_000_000  # scored by one task, bucket after bucket
+ROWS_HELD = 4_000_000  # sums of rows a task holds before it hands them on
+FREQUENT = 256  # words of a range that are looked at as possibly too frequent for a bucket
 
 
 def held_out(id: Column) -> Column:
@@ -115,8 +127,13 @@ def among(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == x, at, -1)
 
 
-def buckets_of(words: list[np.ndarray], whole: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    return parts_of(np.where(among(hot, words[0]) >= 0, whole, mix(words[0])), buckets)
+def within(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return among(sorted_keys, x) >= 0
+
+
+def buckets_of(words: list[np.ndarray], hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of n-grams: by the next-to-last word, and the last one if that is hot."""
+    return parts_of(mix(np.where(within(hot, words[-2]), joined(words[-2:]), words[-2]) * _STEP), buckets)
 
 
 def tokens_of(column: pa.Array):
@@ -132,24 +149,50 @@ def tokens_of(column: pa.Array):
         yield first, last, tokens, at + np.arange(rows + 1)
 
 
-def columns_of(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+def columns_of(tokens: np.ndarray, starts: np.ndarray, order: int, begin: int) -> list[np.ndarray]:
     """The words of the n-gram that ends at each token, begin marks before a text."""
     place = np.arange(len(tokens)) - np.repeat(starts[:-1], np.diff(starts))
     out = []
     for back in range(order - 1, 0, -1):
-        shifted = np.concatenate((np.full(min(back, len(tokens)), BEGIN, np.uint64), tokens[:-back] if back < len(tokens) else tokens[:0]))
-        out.append(np.where(place >= back, shifted, BEGIN))
+        shifted = np.concatenate((np.full(min(back, len(tokens)), begin, tokens.dtype), tokens[:-back] if back < len(tokens) else tokens[:0]))
+        out.append(np.where(place >= back, shifted, begin))
     return [*out, tokens]
 
 
+def fresh(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+
+
 def summed(words: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct n-grams in the order of their hashes: words, hashes, summed counts."""
     whole = joined(words)
     order = np.argsort(whole)
     whole = whole[order]
-    fresh = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1]))) if len(whole) else np.empty(0, np.int64)
-    sums = np.add.reduceat(counts[order], fresh) if len(fresh) else np.empty(0, np.int64)
-    return [w[order[fresh]] for w in words], whole[fresh], sums
+    first = fresh(whole)
+    sums = np.add.reduceat(counts[order], first) if len(first) else np.empty(0, np.int64)
+    return [w[order[first]] for w in words], whole[first], sums
+
+
+def levels(words: list[np.ndarray], counts: np.ndarray):
+    """The distinct n-grams of each order from the highest to 2, as of ``summed``; below the
+    highest each distinct longer n-gram is one word that precedes the rest."""
+    while True:
+        words, whole, counts = summed(words, counts)
+        yield words, whole, counts
+        if len(words) == 2:
+            return
+        words, counts = words[1:], np.ones(len(whole), np.int64)
+
+
+def contexts_of(words: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Contexts of n-grams as sorted hashes; sums of counts and how many are 1, 2 and more."""
+    context = joined(words[:-1])
+    order = np.argsort(context)
+    first = fresh(context[order])
+    if not len(first):
+        return context, [np.empty(0, np.int64)] * 4
+    return context[order[first]], [np.add.reduceat(x[order].astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -157,45 +200,37 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def _coded(x: np.ndarray) -> bytes:
-    """A column as bytes: narrow numbers, or words as places in a list of them if shorter."""
-    few, small = np.empty(0, np.uint64), narrow(x)
-    if x.dtype == np.uint64:
-        words, at = np.unique(x, return_inverse=True)
-        at = narrow(at)
-        if words.nbytes + at.nbytes < small.nbytes:
-            few, small = words, at
-    return np.array([len(few), small.itemsize], np.int64).tobytes() + few.tobytes() + small.tobytes()
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers from 0, byte by byte of their values, compressed."""
+    head, body = [len(columns)], []
+    for c in columns:
+        width = (int(c.max()).bit_length() + 7) // 8 if len(c) else 0
+        head += [len(c), width]
+        body.append(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    raw = np.array(head, np.int64).tobytes() + b"".join(body)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at, out = 8 * (1 + 2 * n), []
+    for size, width in np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2).tolist():
+        column = np.zeros((size, 8), np.uint8)
+        column[:, :width] = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T
+        out.append(column.reshape(-1).view("<u8"))
+        at += size * width
+    return out
 
 
-def _decoded(data: bytes, at: int, n: int, kind) -> tuple[np.ndarray, int]:
-    """The column of n values that starts at a place, and where it ends."""
-    m, size = (int(x) for x in np.frombuffer(data, np.int64, 2, at))
-    at += 16
-    few = np.frombuffer(data, np.uint64, m, at)
-    at += 8 * m
-    own = np.frombuffer(data, f"u{size}", n, at)
-    return (few[own] if m else own).astype(kind), at + n * size
+def packed_grams(words: list[np.ndarray], *rest: np.ndarray) -> bytes:
+    """N-grams in the order of their next-to-last words, and more columns."""
+    return packed([*words[:-2], np.diff(words[-2], prepend=np.zeros(1, words[-2].dtype)), words[-1], *rest])
 
 
-def packed(columns: list[np.ndarray]) -> bytes:
-    """Columns as bytes, in the order of the first, whose runs are stored once."""
-    order = np.argsort(columns[0], kind="stable")
-    first = columns[0][order]
-    fresh = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-    runs = np.diff(np.append(fresh, len(first)))
-    head = np.array([len(first), len(fresh)], np.int64)
-    return b"".join([head.tobytes(), first[fresh].tobytes(), _coded(runs), *[_coded(c[order]) for c in columns[1:]]])
-
-
-def unpacked(data: bytes, kinds: list) -> list[np.ndarray]:
-    n, m = (int(x) for x in np.frombuffer(data, np.int64, 2))
-    first = np.frombuffer(data, np.uint64, m, 16)
-    runs, at = _decoded(data, 16 + 8 * m, m, np.int64)
-    out = [np.repeat(first, runs)]
-    for kind in kinds:
-        column, at = _decoded(data, at, n, kind)
-        out.append(column)
+def unpacked_grams(data: bytes, order: int) -> list[np.ndarray]:
+    out = unpacked(data)
+    out[order - 2] = np.cumsum(out[order - 2], dtype=np.uint64)
     return out
 
 
@@ -209,15 +244,24 @@ def _row(kind: str, bucket: int, block: bytes | None, *figures: int) -> pa.Recor
                             *[pa.array([int(v)], pa.int64()) for v in values]], names=_NAMES)
 
 
-def _sent(kind: str, buckets: np.ndarray, columns: list[np.ndarray]):
+def _rows(kind: str, buckets: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+    none = pa.array(np.zeros(len(blocks), np.int64))
+    return pa.record_batch([pa.array([kind] * len(blocks)), pa.array(buckets, pa.int32()), pa.array(blocks, pa.binary()), *[none] * 5], names=_NAMES)
+
+
+def _runs(where: np.ndarray):
+    """Value, first and end of each run of equal values."""
+    first = fresh(where)
+    yield from zip(where[first].tolist(), first.tolist(), [*first[1:].tolist(), len(where)], strict=True)
+
+
+def _sent(kind: str, buckets: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(buckets, kind="stable")
-    cuts = np.flatnonzero(np.concatenate(([True], np.diff(buckets[order]) != 0))) if len(order) else []
-    for i, a in enumerate(cuts):
-        own = order[a:cuts[i + 1] if i + 1 < len(cuts) else None]
-        yield _row(kind, int(buckets[own[0]]), packed([c[own] for c in columns]))
+    columns, cuts = [c[order] for c in columns], list(_runs(buckets[order]))
+    return _rows(kind, [b for b, _, _ in cuts], [packed([c[i:j] for c in columns]) for _, i, j in cuts])
 
 
-def _grouped(batches, kinds: list):
+def _grouped(batches, unpack=unpacked):
     """(bucket, columns of all its blocks) from rows sorted by bucket."""
     bucket, held = None, []
     for batch in batches:
@@ -226,7 +270,7 @@ def _grouped(batches, kinds: list):
                 yield bucket, [np.concatenate(c) for c in zip(*held, strict=True)]
                 held = []
             bucket = own
-            held.append(unpacked(block, kinds))
+            held.append(unpack(block))
     if held:
         yield bucket, [np.concatenate(c) for c in zip(*held, strict=True)]
 
@@ -235,58 +279,152 @@ def _by_bucket(rows: DataFrame, kind: str, buckets: int) -> DataFrame:
     return rows.where(F.col("kind") == kind).select("bucket", "block").repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
+class Words:
+    """The numbered words, in files by range of their hashes."""
+
+    def __init__(self, root: str, ranges: int, present: set[int]):
+        self.root, self.ranges, self.present = root, ranges, present
+
+    def _file(self, at: int, name: str) -> np.ndarray:
+        return opened(self.root, f"words-{at}-{name}.npy")
+
+    def numbered(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of words in ascending order, 0 for unknown ones."""
+        numbers, counts = np.full(len(words), UNKNOWN, np.int64), np.zeros(len(words), np.int64)
+        for own, i, j in _runs(parts_of(words, self.ranges)):
+            if own in self.present:
+                at = among(self._file(own, "keys"), words[i:j])
+                hit = at >= 0
+                rank = self._file(own, "rank")[at[hit]].astype(np.int64)
+                numbers[i:j][hit] = FIRST + rank * self.ranges + own
+                counts[i:j][hit] = self._file(own, "count")[rank]
+        return numbers, counts
+
+    def before(self, numbers: np.ndarray) -> np.ndarray:
+        """How many distinct words precede the words of these numbers; 0 for unknown ones."""
+        out = np.zeros(len(numbers), np.int64)
+        known = np.flatnonzero(numbers >= FIRST)
+        rank, where = np.divmod(numbers[known].astype(np.int64) - FIRST, self.ranges)
+        order = np.argsort(where, kind="stable")
+        for own, i, j in _runs(where[order]):
+            out[known[order[i:j]]] = self._file(own, "before")[rank[order[i:j]]]
+        return out
+
+
+def gathered(tokens: np.ndarray, starts: np.ndarray, order: int, words: Words, hot: np.ndarray, buckets: int):
+    """The n-grams of a buffer of texts, as bucket, columns of distinct ones, how often each
+    occurs, and the rows where they do, one bucket after the other; and the counts of the tokens."""
+    vocabulary, at = np.unique(tokens, return_inverse=True)
+    numbers, counts = words.numbered(vocabulary)
+    known = np.unique(np.append(numbers, BEGIN))
+    columns = columns_of(np.searchsorted(known, numbers)[at], starts, order, int(np.searchsorted(known, BEGIN)))
+    row, bits = np.repeat(np.arange(len(starts) - 1), np.diff(starts)), len(known).bit_length()
+    sort_by = [columns[-2], *columns[:-2], columns[-1]]
+    if bits * order < 64:
+        key = sort_by[0]
+        for c in sort_by[1:]:
+            key = key << bits | c
+        sorting = np.argsort(key)
+        first = fresh(key[sorting])
+    else:
+        sorting = np.lexsort(sort_by[::-1])
+        first = np.unique(np.concatenate([fresh(c[sorting]) for c in columns]))
+    own = [known[c[sorting[first]]].astype(np.uint64) for c in columns]
+    times = np.diff(np.append(first, len(sorting)))
+    where = narrow(buckets_of(own, hot, buckets))
+    grams, places = np.argsort(where, kind="stable"), np.argsort(np.repeat(where, times), kind="stable")
+    own, times, row = [c[grams] for c in own], times[grams], row[sorting][places]
+    ends = np.append(0, np.cumsum(times))
+
+    def blocks():
+        for bucket, i, j in _runs(where[grams]):
+            yield bucket, [c[i:j] for c in own], times[i:j], row[ends[i]:ends[j]]
+
+    return blocks(), counts[at]
+
+
+def buffers(texts, most: int):
+    """Runs of whole rows with about so many tokens, from pairs of columns (any, text): the
+    first columns of the rows, tokens, and where each row's tokens start."""
+    held, size = [], 0
+    for other, text in texts:
+        for first, last, tokens, starts in tokens_of(text):
+            held.append((other.slice(first, last - first), tokens, starts))
+            size += len(tokens)
+            if size > most:
+                yield _buffer(held)
+                held, size = [], 0
+    if held:
+        yield _buffer(held)
+
+
+def _buffer(held: list):
+    others, tokens, starts = zip(*held, strict=True)
+    sizes = np.concatenate([np.diff(s) for s in starts])
+    return pa.concat_arrays(others), np.concatenate(tokens), np.append(0, np.cumsum(sizes))
+
+
 class Model:
     """What a worker needs besides the files: figures of the counts."""
 
-    def __init__(self, root: str, order: int, buckets: int, hot: np.ndarray, tokens: int, types: int, discounts: dict, heads: int):
-        self.root, self.order, self.buckets, self.hot = root, order, buckets, hot
-        self.tokens, self.types, self.discounts, self.heads = tokens, types, discounts, heads
-
-    def _looked_up(self, name: str, keys: np.ndarray, buckets: np.ndarray, fields: list[str]) -> list[np.ndarray]:
-        """Fields of sorted arrays at the keys, 0 where a key is absent."""
-        out = [np.zeros(len(keys), np.int64) for _ in fields]
-        order = np.argsort(buckets, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(buckets[order]) != 0))) if len(order) else []
-        for i, a in enumerate(cuts):
-            own = order[a:cuts[i + 1] if i + 1 < len(cuts) else None]
-            bucket = int(buckets[own[0]])
-            base = f"{name}-{bucket}"
-            sizes = opened(self.root, f"{base}-keys.npy") if bucket in self._present(name) else np.empty(0, np.uint64)
-            at = among(sizes, keys[own])
-            hit = own[at >= 0]
-            if len(hit):
-                for k, f in enumerate(fields):
-                    out[k][hit] = opened(self.root, f"{base}-{f}.npy")[at[at >= 0]]
+    def __init__(self, words: Words, order: int, buckets: int, hot: np.ndarray, tokens: int, types: int):
+        self.words, self.order, self.buckets, self.hot = words, order, buckets, hot
+        self.tokens, self.types, self.discounts, self.heads = tokens, types, {}, 0
+        self.grams: set[int] = set()
+        self.contexts: set[int] = set()
+
+    def bucket(self, own: int) -> list[tuple]:
+        """Of each order from 2 on: n-grams (sorted hashes), counts; contexts, their figures."""
+        empty = np.empty(0, np.uint64)
+        columns = unpacked_grams(opened.__wrapped__(self.words.root, f"grams-{own}.npy").tobytes(), self.order) if own in self.grams else [empty] * (self.order + 1)
+        out = [(whole, counts, *contexts_of(words, counts)) for words, whole, counts in levels(columns[:-1], columns[-1].astype(np.int64))]
+        return out[::-1]
+
+    def _contexts(self, keys: np.ndarray) -> list[np.ndarray]:
+        """Figures of contexts that end with a hot word, by sorted hashes; 0 where absent."""
+        out = [np.zeros(len(keys), np.int64) for _ in range(4)]
+        for own, i, j in _runs(parts_of(keys, self.words.ranges)):
+            if own in self.contexts:
+                at = among(opened(self.words.root, f"contexts-{own}-keys.npy"), keys[i:j])
+                hit = at >= 0
+                for x, name in zip(out, CONTEXT, strict=True):
+                    x[i:j][hit] = opened(self.words.root, f"contexts-{own}-{name}.npy")[at[hit]]
         return out
 
-    def _present(self, name: str) -> set[int]:
-        return self.present.get(name, set())
-
-    def score(self, tokens: np.ndarray, starts: np.ndarray):
-        """Per token: its count, base chance and model chance, the last two as log10."""
-        words, back = np.unique(tokens, return_inverse=True)
-        count, before = self._looked_up("words", words, parts_of(mix(words), self.buckets), ["count", "before"])
-        base = np.log10((count + 1) / (self.tokens + self.types + 1))
-        d, uniform = self.discounts.get(1), 1 / (self.types + 1)
+    def chances(self, words: list[np.ndarray], tables: list[tuple]) -> np.ndarray:
+        """Chances of the last words of n-grams of one bucket, as log10."""
+        last, at = np.unique(words[-1], return_inverse=True)
+        d, uniform = self.discounts[1], 1 / (self.types + 1)
         if self.heads:
+            before = self.words.before(last)
             less = np.array([0.0, *d[:3]])[np.minimum(before, 3)]
             chance = np.maximum(before - less, 0) / self.heads + d[3] / self.heads * uniform
         else:
-            chance = np.full(len(words), uniform)
-        chance = chance[back]
-        columns = columns_of(tokens, starts, self.order)
-        for k in range(2, self.order + 1):
-            own = columns[self.order - k:]
-            whole, context = joined(own), joined(own[:-1])
-            grams, first, at = np.unique(whole, return_index=True, return_inverse=True)
-            seen = self._looked_up(f"grams{k}", grams, buckets_of([c[first] for c in own], grams, self.hot, self.buckets), ["count"])[0][at]
-            contexts, at = np.unique(context, return_inverse=True)
-            total, one, two, more = (x[at] for x in self._looked_up(f"contexts{k}", contexts, parts_of(mix(contexts), self.buckets), ["total", "one", "two", "more"]))
-            d = self.discounts[k]
+            chance = np.full(len(last), uniform)
+        chance, hot = chance[at], within(self.hot, words[-2])
+        for k, (grams, counts, contexts, figures) in enumerate(tables, 2):
+            own, d = words[self.order - k:], self.discounts[k]
+            at = among(grams, joined(own))
+            seen = np.where(at >= 0, counts[at], 0) if len(grams) else np.zeros(len(at), np.int64)
+            context = joined(own[:-1])
+            at = among(contexts, context)
+            total, one, two, more = (np.where(at >= 0, x[at], 0) for x in figures) if len(contexts) else np.zeros((4, len(at)), np.int64)
+            if hot.any():
+                keys, at = np.unique(wide(context[hot], k), return_inverse=True)
+                for x, y in zip((total, one, two, more), self._contexts(keys), strict=True):
+                    x[hot] = y[at]
             less = np.array([0.0, *d[:3]])[np.minimum(seen, 3)]
             safe = np.maximum(total, 1)
             chance = np.where(total > 0, np.maximum(seen - less, 0) / safe + (d[0] * one + d[1] * two + d[2] * more) / safe * chance, chance)
-        return count[back], base[back], np.log10(chance)
+        return np.log10(chance)
+
+
+CONTEXT = ("total", "one", "two", "more")
+
+
+def wide(contexts: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of contexts of one order, told apart from those of other orders."""
+    return mix(contexts + np.uint64(k) * _STEP)
 
 
 def discounts_of(n: tuple[int, int, int, int]) -> tuple[float, float, float]:
@@ -307,139 +445,198 @@ def train(texts: DataFrame, order: int = 2, root: str | None = None) -> Model:
     root = root or scratch_path(spark, "ngrams")
     texts = texts.select("text")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / CHARS_PER_BUCKET))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, math.ceil(chars / CHARS_PER_BUCKET))
+    ranges = max(min(partitions, 64), math.ceil(chars / CHARS_PER_RANGE))
 
     def count_words(batches):
-        held, size = [], 0
-        for batch in batches:
-            for _, _, tokens, _ in tokens_of(batch.column(0)):
-                held.append(tokens)
-                size += len(tokens)
-                if size > BUFFER:
-                    own, n = np.unique(np.concatenate(held), return_counts=True)
-                    yield from _sent("words", parts_of(mix(own), buckets), [own, n.astype(np.int64)])
-                    held, size = [], 0
-        if held:
-            own, n = np.unique(np.concatenate(held), return_counts=True)
-            yield from _sent("words", parts_of(mix(own), buckets), [own, n.astype(np.int64)])
-
-    limit = None
+        for _, tokens, _ in buffers(((b.column(0), b.column(0)) for b in batches), BUFFER):
+            own, n = np.unique(tokens, return_counts=True)
+            yield _sent("words", parts_of(own, ranges), [own, n])
 
     def add_words(batches):
-        for bucket, (keys, counts) in _grouped(batches, [np.int64]):
-            _, keys, counts = summed([keys], counts)
-            save(root, f"words-{bucket}-keys.npy", keys)
-            save(root, f"words-{bucket}-count.npy", narrow(counts))
-            yield _row("figures", bucket, None, counts.sum(), len(keys))
-            top = np.argsort(-counts)[:8]
-            for i in top[counts[top] > 1000].tolist():
-                yield _row("frequent", bucket, keys[i:i + 1].tobytes(), counts[i])
-
-    found = stored(_by_bucket(texts.mapInArrow(count_words, BLOCK), "words", buckets).mapInArrow(add_words, BLOCK), "words")
-    figures = found.where("kind = 'figures'").agg(F.sum("a"), F.sum("b")).first()
-    tokens, types = figures[0] or 0, figures[1] or 0
-    present = {"words": {r.bucket for r in found.where("kind = 'figures'").select("bucket").collect()}}
-    # The most frequent words of each bucket of words, as far as they would fill a bucket.
-    limit = tokens / (4 * buckets)
-    hot = np.sort(np.array([np.frombuffer(r.block, np.uint64)[0] for r in found.where(
-        (F.col("kind") == "frequent") & (F.col("a") > limit)).select("block").collect()], np.uint64))
+        for own, (keys, counts) in _grouped(batches):
+            _, keys, counts = summed([keys], counts.astype(np.int64))
+            order_ = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(keys), np.int64)
+            rank[order_] = np.arange(len(keys))
+            save(root, f"words-{own}-keys.npy", keys)
+            save(root, f"words-{own}-rank.npy", narrow(rank))
+            save(root, f"words-{own}-count.npy", narrow(counts[order_]))
+            yield _row("figures", own, packed([counts[order_[:FREQUENT]]]), counts.sum(), len(keys))
+
+    found = stored(_by_bucket(texts.mapInArrow(count_words, BLOCK), "words", ranges).mapInArrow(add_words, BLOCK), "words").select(
+        "bucket", "block", "a", "b").collect()  # a row for each range
+    tokens, types = sum(r.a for r in found), sum(r.b for r in found)
+    words = Words(root, ranges, {r.bucket for r in found})
+    # Words that would fill a bucket; the mark before texts as well.
+    hot = [np.array([BEGIN])]
+    for r in found:
+        often = np.flatnonzero(unpacked(r.block)[0] > tokens / buckets)
+        hot.append(FIRST + often * ranges + r.bucket)
+    model = Model(words, order, buckets, np.sort(np.concatenate(hot)).astype(np.uint64), tokens, types)
+    hot = model.hot
 
     def count_grams(batches):
-        held, size = [], 0
-
-        def flush():
-            words, whole, counts = summed([np.concatenate(c) for c in zip(*held, strict=True)], np.ones(size, np.int64))
-            return _sent("grams", buckets_of(words, whole, hot, buckets), [*words, counts.astype(np.uint32)])
+        for _, tokens, starts in buffers(((b.column(0), b.column(0)) for b in batches), BUFFER):
+            blocks, _ = gathered(tokens, starts, order, words, hot, buckets)
+            sent = [(bucket, packed_grams(own, times)) for bucket, own, times, _ in blocks]
+            yield _rows("grams", [x for x, _ in sent], [x for _, x in sent])
+
+    def add_grams(batches):
+        for bucket, columns in _grouped(batches, lambda block: unpacked_grams(block, order)):
+            own, counts = columns[:-1], columns[-1].astype(np.int64)
+            del columns
+            for own, _, counts in levels(own, counts):
+                k = len(own)
+                if k == order:
+                    by = np.argsort(own[-2], kind="stable")
+                    save(root, f"grams-{bucket}.npy", np.frombuffer(packed_grams([w[by] for w in own], counts[by]), np.uint8))
+                    yield _row("written", bucket, None)
+                yield _row(f"figures{k}", bucket, None, *[(counts == c).sum() for c in (1, 2, 3, 4)])
+                at = within(hot, own[-2])
+                if at.any():
+                    keys, figures = contexts_of([w[at] for w in own], counts[at])
+                    keys = wide(keys, k)
+                    yield _sent("contexts", parts_of(keys, ranges), [keys, *figures])
+            # Each distinct pair is one word that precedes its last word.
+            last, before = np.unique(own[-1].astype(np.int64), return_counts=True)
+            rank, where = np.divmod(last - FIRST, ranges)
+            yield _sent("before", where, [rank, before])
+
+    added = stored(_by_bucket(texts.mapInArrow(count_grams, BLOCK), "grams", buckets).mapInArrow(add_grams, BLOCK), "grams")
+    release(spark)
+    sums = {r.kind: r for r in added.where("kind like 'figures%'").groupBy("kind").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()}
+    for k in range(order, 1, -1):
+        n = sums.get(f"figures{k}")
+        model.discounts[k] = discounts_of((n.a, n.b, n.c, n.d) if n else (0, 0, 0, 0))
+    model.grams = {r.bucket for r in added.where("kind = 'written'").select("bucket").collect()}
 
-        for batch in batches:
-            for _, _, own, starts in tokens_of(batch.column(0)):
-                held.append(columns_of(own, starts, order))
-                size += len(own)
-                if size > BUFFER:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
+    def add_contexts(batches):
+        for own, (keys, *figures) in _grouped(batches):
+            order_ = np.argsort(keys)
+            first = fresh(keys[order_])
+            save(root, f"contexts-{own}-keys.npy", keys[order_[first]])
+            for name, c in zip(CONTEXT, figures, strict=True):
+                save(root, f"contexts-{own}-{name}.npy", narrow(np.add.reduceat(c[order_].astype(np.int64), first)))
+            yield _row("written", own, None)
 
-    rows, discounts = texts.mapInArrow(count_grams, BLOCK), {}
-    for k in range(order, 1, -1):
-        def add_grams(batches, k=k):
-            for bucket, columns in _grouped(batches, [np.uint64] * (k - 1) + [np.uint32]):
-                words, whole, counts = summed(columns[:-1], columns[-1].astype(np.int64))
-                del columns
-                save(root, f"grams{k}-{bucket}-keys.npy", whole)
-                save(root, f"grams{k}-{bucket}-count.npy", narrow(counts))
-                yield _row("figures", bucket, None, *[(counts == c).sum() for c in (1, 2, 3, 4)])
-                context = joined(words[:-1])
-                at = np.argsort(context, kind="stable")
-                keys, fresh = np.unique(context[at], return_index=True)
-                stats = [np.add.reduceat(x[at].astype(np.int64), fresh) for x in (counts, counts == 1, counts == 2, counts > 2)]
-                yield from _sent("contexts", parts_of(mix(keys), buckets), [keys, *stats])
-                # Each distinct n-gram is one word that precedes the rest.
-                rest, whole, before = summed(words[1:], np.ones(len(whole), np.int64))
-                where = parts_of(mix(whole), buckets) if k == 2 else buckets_of(rest, whole, hot, buckets)
-                yield from _sent("next", where, [*rest, before.astype(np.uint32)])
-
-        added = stored(_by_bucket(rows, "grams", buckets).mapInArrow(add_grams, BLOCK), "grams")
-        release(spark)
-        n = added.where("kind = 'figures'").agg(*[F.sum(c) for c in "abcd"]).first()
-        discounts[k] = discounts_of(tuple(x or 0 for x in n))
-        present[f"grams{k}"] = {r.bucket for r in added.where("kind = 'figures'").select("bucket").collect()}
-
-        def add_contexts(batches, k=k):
-            for bucket, columns in _grouped(batches, [np.int64] * 4):
-                order_ = np.argsort(columns[0], kind="stable")
-                keys, fresh = np.unique(columns[0][order_], return_index=True)
-                save(root, f"contexts{k}-{bucket}-keys.npy", keys)
-                for name, c in zip(("total", "one", "two", "more"), columns[1:], strict=True):
-                    save(root, f"contexts{k}-{bucket}-{name}.npy", narrow(np.add.reduceat(c[order_], fresh)))
-                yield _row("figures", bucket, None)
-
-        present[f"contexts{k}"] = {r.bucket for r in _by_bucket(added, "contexts", buckets).mapInArrow(add_contexts, BLOCK).select("bucket").collect()}
-        rows = added.where("kind = 'next'").withColumn("kind", F.lit("grams"))
-        release(spark)
+    model.contexts = {r.bucket for r in stored(_by_bucket(added, "contexts", ranges).mapInArrow(add_contexts, BLOCK), "contexts").select("bucket").collect()}
 
     def add_before(batches):
-        for bucket, (keys, before) in _grouped(batches, [np.uint32]):
-            _, keys, before = summed([keys], before.astype(np.int64))
-            words = opened(root, f"words-{bucket}-keys.npy")
-            all_before = np.zeros(len(words), np.int64)
-            at = among(words, keys)
-            all_before[at[at >= 0]] = before[at >= 0]
-            save(root, f"words-{bucket}-before.npy", narrow(all_before))
-            figures = [(all_before == c).sum() for c in (1, 2, 3, 4)]
-            yield _row("figures", bucket, None, *figures, all_before.sum())
-            yield _row("more", bucket, None, (all_before > 2).sum())
-
-    last = stored(_by_bucket(rows, "grams", buckets).mapInArrow(add_before, BLOCK), "before")
+        for own, (rank, before) in _grouped(batches):
+            # Every learned word has a word or a mark before it.
+            all_before = np.bincount(rank.astype(np.int64), before, len(opened(root, f"words-{own}-count.npy"))).astype(np.int64)
+            save(root, f"words-{own}-before.npy", narrow(all_before))
+            yield _row("figures", own, None, *[(all_before == c).sum() for c in (1, 2, 3, 4)], all_before.sum())
+            yield _row("more", own, None, (all_before > 2).sum())
+
+    last = stored(_by_bucket(added, "before", ranges).mapInArrow(add_before, BLOCK), "before")
     n = [x or 0 for x in last.where("kind = 'figures'").agg(*[F.sum(c) for c in "abcde"]).first()]
     more = last.where("kind = 'more'").agg(F.sum("a")).first()[0] or 0
     d = discounts_of(tuple(n[:4]))
     # With the mass that is taken from all words together.
-    discounts[1] = (*d, d[0] * n[0] + d[1] * n[1] + d[2] * more)
-    model = Model(root, order, buckets, hot, tokens, types, discounts, n[4])
-    model.present = present
+    model.discounts[1], model.heads = (*d, d[0] * n[0] + d[1] * n[1] + d[2] * more), n[4]
+    release(spark)
     return model
 
 
 def score_frame(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: id, n_tokens, n_known, base_score, score (log10)."""
-    kind = dict(docs.dtypes)[id]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id]
+    sent = spark.sparkContext.broadcast(model)
+    # bucket -1: the rows of a buffer; else n-grams of a bucket, or sums of rows (count: tokens).
+    form = f"bucket int, buffer long, count long, block binary, ids array<{kind}>"
+    names = [x.split()[0] for x in form.split(", ")]
+
+    def made(bucket: list, buffer: list, count: list, block: list, ids: pa.Array):
+        return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(buffer, pa.int64()), pa.array(count, pa.int64()), pa.array(block, pa.binary()), ids], names=names)
+
+    def count_grams(batches):
+        model, part = sent.value, TaskContext.get().partitionId()
+        for k, (ids, tokens, starts) in enumerate(buffers(((b.column(0), b.column(1)) for b in batches), BUFFER)):
+            blocks, counts = gathered(tokens, starts, model.order, model.words, model.hot, model.buckets)
+            base = np.log10((counts + 1) / (model.tokens + model.types + 1))
+            sizes, rows, buffer = np.diff(starts), len(ids), part << 32 | k
+            known = np.add.reduceat((counts > 0).astype(np.int64), starts[:-1])
+            yield made([-1], [buffer], [rows], [sizes.tobytes() + known.tobytes() + np.add.reduceat(base, starts[:-1]).tobytes()],
+                       pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), ids))
+            own = [(bucket, packed_grams(grams, times, row)) for bucket, grams, times, row in blocks]
+            yield made([x for x, _ in own], [buffer] * len(own), [rows] * len(own), [x for _, x in own], pa.nulls(len(own), pa.list_(ids.type)))
+
+    def score(batches):
+        model, order = sent.value, sent.value.order
+        bucket, tables, held, size, sums, tokens = None, None, [], 0, {}, {}
+
+        def settle():
+            words = [np.concatenate([block[c] for _, _, block in held]) for c in range(order)]
+            _, first, at = np.unique(joined(words), return_index=True, return_inverse=True)
+            chance, begun = model.chances([w[first] for w in words], tables)[at], 0
+            for buffer, rows, block in held:
+                own = np.repeat(chance[begun:begun + len(block[0])], block[-2].astype(np.int64))
+                begun += len(block[0])
+                if buffer not in sums:
+                    sums[buffer], tokens[buffer] = np.zeros(rows), 0
+                sums[buffer] += np.bincount(block[-1].astype(np.int64), own, rows)
+                tokens[buffer] += len(own)
+
+        def handed_on():
+            return made([0] * len(sums), list(sums), [tokens[b] for b in sums], [x.tobytes() for x in sums.values()], pa.nulls(len(sums), ids_type))
+
+        ids_type = None
+        for batch in batches:
+            ids_type = batch["ids"].type
+            whole = np.flatnonzero(batch["bucket"].to_numpy(zero_copy_only=False) == -1)
+            if len(whole):
+                yield batch.take(pa.array(whole))
+            for own, buffer, rows, block in zip(*[batch[c].to_pylist() for c in names[:4]], strict=True):
+                if own == -1:
+                    continue
+                if held and (own != bucket or size > BUFFER):
+                    settle()
+                    held, size = [], 0
+                    if sum(len(x) for x in sums.values()) > ROWS_HELD:
+                        yield handed_on()
+                        sums.clear()
+                        tokens.clear()
+                if own != bucket:
+                    bucket, tables = own, model.bucket(own)
+                held.append((buffer, rows, unpacked_grams(block, order)))
+                size += len(held[-1][2][-1])
+        if held:
+            settle()
+        if sums:
+            yield handed_on()
+
+    def added(batches):
+        buffer, rows, held, tokens = None, None, [], 0
+
+        def whole():
+            count, block, ids = rows
+            sizes, known = np.frombuffer(block, np.int64, 2 * count).reshape(2, count)
+            if tokens != sizes.sum():
+                raise ValueError("a task was repeated and read its rows in another order")
+            return pa.record_batch([ids, *[pa.array(x) for x in (sizes, known, np.frombuffer(block, np.float64, count, 16 * count), sum(held))]],
+                                   names=["id", "n_tokens", "n_known", "base_score", "score"])
 
-    def run(batches):
-        model = sent.value
         for batch in batches:
-            known, sizes, base, score = [], [], [], []
-            for _, _, tokens, starts in tokens_of(batch.column(1)):
-                c, b, s = model.score(tokens, starts)
-                sizes.append(np.diff(starts))
-                known.append(np.add.reduceat((c > 0).astype(np.int64), starts[:-1]))
-                base.append(np.add.reduceat(b, starts[:-1]))
-                score.append(np.add.reduceat(s, starts[:-1]))
-            if sizes:
-                yield pa.record_batch([batch.column(0), *[pa.array(np.concatenate(x)) for x in (sizes, known, base, score)]],
-                                      names=["id", "n_tokens", "n_known", "base_score", "score"])
-
-    return docs.select(docs[id].alias("id"), docs[text].alias("text")).mapInArrow(
-        run, f"id {kind}, n_tokens long, n_known long, base_score double, score double").withColumnRenamed("id", id)
+            for i, (own, at, count, block) in enumerate(zip(*[batch[c].to_pylist() for c in names[:4]], strict=True)):
+                if buffer is not None and at != buffer:
+                    yield whole()
+                    rows, held, tokens = None, [], 0
+                buffer = at
+                if own == -1:
+                    rows = count, block, batch["ids"][i].values
+                else:
+                    held.append(np.frombuffer(block, np.float64))
+                    tokens += count
+        if buffer is not None:
+            yield whole()
+
+    parallel = spark.sparkContext.defaultParallelism
+    tasks = min(model.buckets, max(4 * parallel, math.ceil(model.tokens / TOKENS_PER_TASK)))
+    rows = docs.select(docs[id].alias("id"), docs[text].alias("text")).mapInArrow(count_grams, form)
+    # Rows of buffers need no bucket, so they are spread by buffer.
+    rows = rows.repartition(tasks, F.when(F.col("bucket") < 0, -1 - F.col("buffer") % (1 << 20)).otherwise(F.col("bucket"))).sortWithinPartitions("bucket", "buffer")
+    return rows.mapInArrow(score, form).repartition(2 * parallel, "buffer").sortWithinPartitions("buffer").mapInArrow(
+        added, f"id {kind}, n_tokens long, n_known long, base_score double, score double").withColumnRenamed("id", id)
