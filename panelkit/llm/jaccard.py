@@ -22,8 +22,9 @@ making large cells. Then, in every cell at once:
   is done.
 
 Equal sets are one member from the start, so copies cost nothing. A pair met in many cells
-is computed once. Joins on a hot pivot or cell are plain joins that adaptive execution
-splits; cell figures are aggregated before the shuffle.
+is computed once, and only if class counts leave it open: coarse ones first, then, for texts of
+many shingles, counts in as many classes as their size asks for. Joins on a hot pivot or cell
+are plain joins that adaptive execution splits; cell figures are aggregated before the shuffle.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; fewer
 words than a shingle form one shingle; a row without id has no component and is linked
@@ -45,6 +46,8 @@ from .words import block_words, mix, text_blocks
 SLOTS = 1 << 20  # of the sketch of shingle counts
 LEAF = 16
 CLASSES = 128
+FINE = 4  # shingles to a class of the finer counts, at most
+SETS_HELD = 1 << 20  # shingles of sets handed on at once
 IDS_SENT = 400_000  # ids broadcast to find their texts; more are joined by a shuffle
 
 
@@ -114,31 +117,46 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def class_counts(own: np.ndarray, classes: int) -> bytes:
+    """Numbers of shingles in classes of hashes, up to 255 each."""
+    return np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % classes, minlength=classes), 255).astype(np.uint8).tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """What the symmetric difference of two sets has at least, by class counts; numbers of
+    classes are powers of two, and the larger one is folded to the other."""
+    classes = min(len(x), len(y))
+    x, y = (np.minimum(np.frombuffer(c, np.uint8).reshape(-1, classes).sum(0, np.int64), 255) for c in (x, y))
+    return int(np.abs(x - y).sum())
+
+
 def prefixes(docs: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
-    """id, n (shingles), h1, h2 (of the set), cells of the text, and v: its numbers of
-    shingles in CLASSES classes of hashes, up to 255 each."""
+    """id, n (shingles), h1, h2 (of the set), cells of the text, and its class counts: v in
+    CLASSES classes, and w in a class for FINE shingles or fewer where that is more."""
     kind = dict(docs.dtypes)[id]
     sent = docs.sparkSession.sparkContext.broadcast(rarity(docs, text, k))
 
     def run(batches):
         level = sent.value
         for batch in batches:
-            n, h1, h2, cells, v = [], [], [], [], []
+            n, h1, h2, cells, v, w = [], [], [], [], [], []
             for own in shingle_sets(batch.column(1), k):
                 size = len(own)
                 n.append(size)
                 h1.append(int(_signed(np.add.reduce(mix(own ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True))[0]) if size else 0)
                 h2.append(int(_signed(np.add.reduce(mix(own * np.uint64(0x2545F4914F6CDD1D)), keepdims=True))[0]) if size else 0)
-                v.append(np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES), 255).astype(np.uint8).tobytes())
+                v.append(class_counts(own, CLASSES))
+                w.append(class_counts(own, 1 << (size // FINE).bit_length()) if size >= FINE * CLASSES else v[-1])
                 rare = level[(own & np.uint64(SLOTS - 1)).astype(np.int64)]
                 if rare.any():
                     own = own[np.argsort(rare, kind="stable")]
                 cells.append(_signed(own[:size - (percent * size + 99) // 100 + 1] if size else own))
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                                   pa.array(cells, pa.list_(pa.int64())), pa.array(v, pa.binary())], names=["id", "n", "h1", "h2", "cells", "v"])
+                                   pa.array(cells, pa.list_(pa.int64())), pa.array(v, pa.binary()), pa.array(w, pa.binary())],
+                                  names=["id", "n", "h1", "h2", "cells", "v", "w"])
 
     return docs.select(docs[id].alias("id"), docs[text].alias("text")).mapInArrow(
-        run, f"id {kind}, n long, h1 long, h2 long, cells array<long>, v binary")
+        run, f"id {kind}, n long, h1 long, h2 long, cells array<long>, v binary, w binary")
 
 
 def shared_cells(cells: DataFrame) -> DataFrame:
@@ -169,25 +187,28 @@ class Measure:
 
     def __init__(self, docs: DataFrame, members: DataFrame, id: str, text: str, k: int, percent: int):
         self.docs = docs.select(docs[id].alias("id"), docs[text].alias("text"))
-        self.members, self.k, self.percent = members.select("id", "n", "v"), k, percent
+        self.members, self.k, self.percent = members.select("id", "n", "v", "w"), k, percent
 
-    def _bounded(self, pairs: DataFrame) -> DataFrame:
+    def _bounded(self, pairs: DataFrame, counts: str, floor: str = "0D") -> DataFrame:
         """Add low, a lower bound of the distance from sizes and class counts, and open."""
         kind, percent = dict(pairs.dtypes)["a"], self.percent
 
         def run(batches):
             for batch in batches:
-                rows = batch.num_rows
-                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(rows, CLASSES).astype(np.int64) for c in ("x", "y"))
                 n = batch["s"].to_numpy(zero_copy_only=False)
-                apart = np.abs(x - y).sum(1)  # at most the size of the symmetric difference
-                yield pa.record_batch([batch["a"], batch["b"], pa.array(2 * apart / (n + apart)),
-                                       pa.array(100 * (n - apart) >= percent * (n + apart))], names=["a", "b", "low", "open"])
+                if counts == "v":
+                    x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, CLASSES).astype(np.int64) for c in ("x", "y"))
+                    apart = np.abs(x - y).sum(1)
+                else:
+                    apart = np.array([least_apart(x, y) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)], np.int64)
+                low = np.maximum(2 * apart / (n + apart), batch["floor"].to_numpy(zero_copy_only=False))
+                yield pa.record_batch([batch["a"], batch["b"], pa.array(low), pa.array(100 * (n - apart) >= percent * (n + apart))],
+                                      names=["a", "b", "low", "open"])
 
         own = self.members
-        both = pairs.join(own.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("v").alias("x")), "a").join(
-            own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("y")), "b")
-        return both.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("s")).mapInArrow(
+        both = pairs.join(own.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(counts).alias("x")), "a").join(
+            own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(counts).alias("y")), "b")
+        return both.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("s"), F.expr(floor).alias("floor")).mapInArrow(
             run, f"a {kind}, b {kind}, low double, open boolean")
 
     def narrow(self, ids: DataFrame) -> None:
@@ -205,15 +226,25 @@ class Measure:
 
         def run(batches):
             for batch in batches:
-                sets = pa.array([_signed(s) for s in shingle_sets(batch["text"], k)], pa.list_(pa.int64()))
-                yield pa.record_batch([*[batch[c] for c in wanted_names], sets], names=[*wanted_names, "own"])
+                sets, begun, size = [], 0, 0
+                for row, own in enumerate(shingle_sets(batch["text"], k), 1):
+                    sets.append(_signed(own))
+                    size += len(own)
+                    # Sets of many long texts at once would not fit a worker.
+                    if size > SETS_HELD or row == batch.num_rows:
+                        part = batch.slice(begun, len(sets))
+                        yield pa.record_batch([*[part[c] for c in wanted_names], pa.array(sets, pa.list_(pa.int64()))], names=[*wanted_names, "own"])
+                        sets, begun, size = [], row, 0
 
         wanted_names = wanted.columns
         return texts.mapInArrow(run, f"{kinds}, own array<long>")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """a, b, low, d (null where a bound was enough) and link of the distinct pairs."""
-        bounded = stored(self._bounded(pairs.distinct()), "pairs")
+        coarse = stored(self._bounded(pairs.distinct(), "v"), "pairs")
+        # Of long texts that have little in common, coarse counts differ too little to tell.
+        fine = self._bounded(coarse.where("open").select("a", "b", "low"), "w", "low")
+        bounded = coarse.where("not open").unionByName(stored(fine, "pairs"))
         asked = bounded.where("open")
         left = self._sets(stored(asked.groupBy("a").agg(F.collect_set("b").alias("bs")).withColumnRenamed("a", "id"), "ids"))
         right = self._sets(stored(asked.select(F.col("b").alias("id")).distinct(), "ids"))
